@@ -14,7 +14,8 @@ def measured(value: Column) -> Column:
 
 
 def half_even(value: Column, digits: int = 0) -> Column:
-    return F.bround(value, digits)
+    """Round half to even on the scaled double, as array libraries do."""
+    return F.rint(value) if digits == 0 else F.rint(value * 10.0**digits) / 10.0**digits
 
 
 def clamp(value: Column, low, high) -> Column:

@@ -127,6 +127,19 @@ def previous(df: DataFrame, lane: Lane, name: str, *columns: str, reverse: bool
     )
 
 
+def numbered(df: DataFrame, lane: Lane, *columns: str, name: str = "_n", before: str = "_prev") -> DataFrame:
+    """Row number and preceding row in one pass."""
+    out = running(
+        df,
+        lane,
+        **{
+            name: Running("sum", F.lit(1).cast("bigint")),
+            before: Running("last", F.struct(*columns), inclusive=False),
+        },
+    )
+    return out.withColumn(name, F.col(name) - 1)
+
+
 def with_ordinal(df: DataFrame, lane: Lane, name: str = "_n") -> DataFrame:
     """Dense 0-based row number inside the lane."""
     out = running(df, lane, **{name: Running("sum", F.lit(1).cast("bigint"))})
@@ -149,16 +162,27 @@ def halo(df: DataFrame, lane: Lane, before: int, after: int) -> DataFrame:
 
 
 def framed(
-    df: DataFrame, lane: Lane, before: int, after: int, exprs: Callable[[object], dict[str, Column]]
+    df: DataFrame, lane: Lane, before: int, after: int, *stages: Callable[[object], dict[str, Column]]
 ) -> DataFrame:
-    """Evaluate bounded window expressions; ``exprs`` gets the ordered block window."""
+    """Evaluate bounded window expressions; every stage gets the ordered block window.
+
+    Later stages may use columns of earlier ones; ``before`` and ``after`` cover all stages together.
+    """
     lane = lane.resolve(df)
-    copies = halo(df, lane, before, after)
+    done = halo(df, lane, before, after)
     window = Window.partitionBy(*lane.block_keys).orderBy(*lane.sort())
-    out = exprs(window)
-    kept = [c for c in df.columns if c not in out]
-    done = copies.select(*kept, "_own", *[e.alias(n) for n, e in out.items()])
-    return done.filter("_own").drop("_own")
+    kept = df.columns
+    for stage in stages:
+        out = stage(window)
+        kept = [c for c in kept if c not in out]
+        done = done.select(*kept, *lane_extra(lane, kept), "_own", *[e.alias(n) for n, e in out.items()])
+        kept = [*kept, *out]
+    return done.filter("_own").select(*kept)
+
+
+def lane_extra(lane: Lane, kept: Sequence[str]) -> list[str]:
+    """Block columns a later stage still needs."""
+    return [BLOCK] if BLOCK not in kept else []
 
 
 def per_block(
@@ -183,5 +207,6 @@ def islands(df: DataFrame, lane: Lane, starts: Column, name: str = "island") ->
     return running(df, lane, **{name: Running("sum", F.when(starts, 1).otherwise(0).cast("bigint"))})
 
 
-def merge_columns(keys: Sequence[str]) -> list[Column]:
-    return [F.col(k) for k in keys]
+def lane_keys(pdf, keys: Sequence[str]) -> list[tuple]:
+    """Key values of every row, also where a lane has no key."""
+    return list(pdf[list(keys)].itertuples(index=False, name=None)) if keys else [()] * len(pdf)

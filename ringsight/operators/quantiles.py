@@ -1,8 +1,8 @@
 """Exact grouped quantiles that do not gather a group into one task.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer. Here values are first
-counted per (group, value) - which spreads a hot group over all tasks - then narrowed twice to the
-bucket holding the wanted rank, so only one bucket of a group is ever ordered in one place.
+``percentile`` keeps every distinct value of a group in one aggregation buffer. Here values are counted per
+(group, value) first, which spreads a hot group over all tasks. A group is then cut into narrow value
+buckets; bucket totals give the rank every bucket starts at, so only single buckets are ever ordered.
 """
 
 from __future__ import annotations
@@ -12,72 +12,56 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_FINE = 4096
+_PER_FOLD = 4096  # buckets per factor e: 0.02 % wide
 
 
-def _coarse(value: Column) -> Column:
-    """Monotone integer bucket of a double, about 0.4 % wide, independent of the data."""
-    scaled = F.floor(F.log(F.abs(value)) * 256) + 300000
+def _bucket(value: Column) -> Column:
+    """Monotone integer bucket of a double that does not depend on the data."""
+    scaled = F.floor(F.log(F.abs(value)) * _PER_FOLD) + 1000 * _PER_FOLD
     return F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * scaled).cast("bigint")
 
 
-def _locate(counts: DataFrame, keys: list[str], bucket: str, wanted: DataFrame) -> DataFrame:
-    """Bucket of every wanted rank, and the number of rows ahead of that bucket."""
-    sizes = counts.groupBy(*keys, bucket).agg(F.sum("_cnt").alias("_size"))
-    window = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
-    ends = sizes.withColumn("_end", F.sum("_size").over(window))
-    hit = (F.col("_rank") >= F.col("_end") - F.col("_size")) & (F.col("_rank") < F.col("_end"))
-    joined = ends.join(wanted, keys) if keys else ends.crossJoin(wanted)
-    return joined.filter(hit).select(
-        *keys, "_p", "_side", "_frac", bucket, (F.col("_rank") - F.col("_end") + F.col("_size")).alias("_rank")
-    )
-
-
 def grouped_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column, float]]
 ) -> DataFrame:
-    """One row per group with ``value`` quantiles by linear interpolation; NULLs are skipped.
+    """One row per group with quantiles by linear interpolation; NULL and NaN are skipped.
 
-    Groups without a non-null value are absent. ``probs`` maps output name to probability.
+    ``wanted`` maps an output name to (value, probability). All values go through one shuffle; groups
+    without any non-null value are absent.
     """
     keys = list(keys)
+    names = list(wanted)
+    stack = F.explode(
+        F.array(*[
+            F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p"), v.cast("double").alias("_v"))
+            for i, (v, p) in enumerate(wanted.values())
+        ])
+    )
+    part = [*keys, "_i", "_p", "_bucket"]
     counts = (
-        df.select(*keys, F.col(value).cast("double").alias("_v"))
+        df.select(*keys, stack.alias("_s"))
+        .select(*keys, "_s.*")
         .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .groupBy(*keys, "_v")
+        .groupBy(*keys, "_i", "_p", "_v")
         .agg(F.count(F.lit(1)).alias("_cnt"))
-        .withColumn("_coarse", _coarse(F.col("_v")))
+        .withColumn("_bucket", _bucket(F.col("_v")))
+    )
+    group = Window.partitionBy(*keys, "_i")
+    sizes = counts.groupBy(*part).agg(F.sum("_cnt").alias("_size"))
+    placed = sizes.select(
+        *part,
+        F.coalesce(F.sum("_size").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        ((F.sum("_size").over(group) - 1) * F.col("_p")).alias("_at"),
+        "_size",
     )
-    totals = counts.groupBy(*keys).agg(F.sum("_cnt").alias("_total"))
-    names = list(probs)
-    ranks = []
-    for i, name in enumerate(names):
-        at = (F.col("_total") - 1) * F.lit(float(probs[name]))
-        low = F.floor(at)
-        frac = at - low
-        for side, rank in enumerate((low, F.least(low + 1, F.col("_total") - 1))):
-            ranks.append(
-                F.struct(F.lit(i).alias("_p"), F.lit(side).alias("_side"), frac.alias("_frac"), rank.alias("_rank"))
-            )
-    wanted = totals.select(*keys, F.explode(F.array(*ranks)).alias("_w")).select(*keys, "_w.*")
-    coarse = _locate(counts, keys, "_coarse", wanted)
-    narrowed = counts.join(coarse.select(*keys, "_coarse").distinct(), [*keys, "_coarse"], "left_semi")
-    edges = narrowed.groupBy(*keys, "_coarse").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    span = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
-    fine = narrowed.join(edges, [*keys, "_coarse"]).withColumn(
-        "_fine", F.floor(F.coalesce(span, F.lit(0.0)) * (_FINE - 1)).cast("bigint")
+    low, high = F.floor("_at"), F.ceil("_at")
+    inside = lambda rank: (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_size"))
+    placed = placed.filter(inside(low) | inside(high)).drop("_size")
+    local = Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.join(placed, part).withColumn("_end", F.col("_before") + F.sum("_cnt").over(local))
+    hit = lambda rank: F.when((rank >= F.col("_end") - F.col("_cnt")) & (rank < F.col("_end")), F.col("_v"))
+    ends = rows.groupBy(*keys, "_i").agg(
+        F.max(hit(low)).alias("_lo"), F.max(hit(high)).alias("_hi"), F.max(F.col("_at") - low).alias("_f")
     )
-    inner = _locate(fine, [*keys, "_coarse"], "_fine", coarse)
-    part = [*keys, "_coarse", "_fine"]
-    rows = fine.join(inner.select(*part).distinct(), part, "left_semi")
-    window = Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_end", F.sum("_cnt").over(window))
-    hit = (F.col("_rank") >= F.col("_end") - F.col("_cnt")) & (F.col("_rank") < F.col("_end"))
-    picked = rows.join(inner, part).filter(hit)
-    aggs = []
-    for i, name in enumerate(names):
-        low = F.max(F.when((F.col("_p") == i) & (F.col("_side") == 0), F.col("_v")))
-        high = F.max(F.when((F.col("_p") == i) & (F.col("_side") == 1), F.col("_v")))
-        frac = F.max(F.when(F.col("_p") == i, F.col("_frac")))
-        aggs.append((low + (high - low) * frac).alias(name))
-    return picked.groupBy(*keys).agg(*aggs)
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")
+    return ends.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, value)).alias(n) for i, n in enumerate(names)])

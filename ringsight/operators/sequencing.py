@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ringsight.functions.numeric import half_even, median_of
 from ringsight.operators.fold import lane_fold
-from ringsight.operators.ordered import Lane, Running, framed, previous, running, with_ordinal
+from ringsight.operators.ordered import Lane, Running, framed, lane_keys, numbered, previous, running, with_ordinal
 
 FRAME_RATE = 25.0  # fixed value: nominal frames per second
 ELEMENT_PERIOD = 0.8  # fixed value: seconds per element
@@ -43,11 +43,9 @@ def declare_gaps(df: DataFrame, lane: Lane) -> DataFrame:
 
 def gap_advance(df: DataFrame, lane: Lane, step: str, recent: int = 25) -> DataFrame:
     """Distance the chain moved while frames were missing: recent median step times lost frames."""
-    seen = previous(df, lane, "_prev", lane.order)
-    numbered = with_ordinal(seen, lane, "_n")
     rows = Lane(lane.keys, "_n", (), lane.width)
     med = framed(
-        numbered,
+        numbered(df, lane, lane.order),
         rows,
         recent,
         0,
@@ -118,7 +116,7 @@ def reorder(df: DataFrame, arrival: Lane, sequence: str, window: int = REORDER_W
 
     def fold(state, pdf):
         out = []
-        for key, at, seq in zip(pdf[keys].itertuples(index=False, name=None), pdf[order], pdf[sequence]):
+        for key, at, seq in zip(lane_keys(pdf, keys), pdf[order], pdf[sequence]):
             released, note = sequence_step(state, int(seq), window)
             for number, missing in released:
                 out.append((*key, number, int(at), missing, "released", note == "restart"))
@@ -157,21 +155,25 @@ def repeated_pictures(df: DataFrame, lane: Lane, content: str) -> DataFrame:
 
 
 def arrival_health(
-    df: DataFrame, lane: Lane, at_us: str, repeated: str, recent: int = 250, least: int = 50
+    df: DataFrame, lane: Lane, at_us: str, content: str, recent: int = 250, least: int = 50
 ) -> DataFrame:
     """Arrival rate and repeated share over the latest frames; NULL while too few have arrived."""
-    numbered = with_ordinal(df, lane, "_n")
+    hashed = df.withColumn("_hash", F.sha2(F.col(content), 256))
     rows = Lane(lane.keys, "_n", (), lane.width)
 
     def exprs(w):
         frame = w.rowsBetween(1 - recent, 0)
         count = F.count(F.lit(1)).over(frame)
         span = (F.last(at_us).over(frame) - F.first(at_us).over(frame)) / 1_000_000
-        share = F.avg(F.col(repeated).cast("double")).over(frame)
+        repeated = F.coalesce((F.col("_hash") == F.col("_prev._hash")).cast("double"), F.lit(0.0))
         rate = F.when(span > 0, (count - 1) / span)
-        return {"rate": F.when(count >= least, rate), "repeated_share": F.when(count >= least, share)}
+        return {
+            "rate": F.when(count >= least, rate),
+            "repeated_share": F.when(count >= least, F.avg(repeated).over(frame)),
+        }
 
-    return framed(numbered, rows, recent - 1, 0, exprs).drop("_n")
+    out = framed(numbered(hashed, lane, "_hash"), rows, recent - 1, 0, exprs)
+    return out.drop("_n", "_hash", "_prev")
 
 
 def spaced_step(state: dict, at: np.ndarray, gap: float, strict: bool) -> np.ndarray:

@@ -41,7 +41,7 @@ def barcode_bits(spark, sf):
     + "SELECT col, bool_or(bit) OVER (ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS dilated FROM signal",
 )
 def bit_dilation(spark, sf):
-    return ops.dilated(t.signal(spark, sf).select("col", "bit"), COLUMNS, "bit", 2)
+    return ops.dilated(t.signal(spark, sf), COLUMNS, "bit", 2).select("col", "dilated")
 
 
 OFFSETS = """n AS (SELECT max(slot) + 1 AS n FROM barcode),

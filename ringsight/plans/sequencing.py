@@ -197,8 +197,7 @@ def repeated_pictures(spark, sf):
         AS rate, round(CASE WHEN n >= 50 THEN share END, 6) AS repeated_share FROM win""",
 )
 def arrival_health(spark, sf):
-    flagged = ops.repeated_pictures(t.frames(spark, sf), BY_FRAME, "payload")
-    out = ops.arrival_health(flagged, BY_FRAME, "captured_us", "repeated")
+    out = ops.arrival_health(t.frames(spark, sf), BY_FRAME, "captured_us", "payload")
     return out.select(
         "camera_id", "event_id", F.round("rate", 9).alias("rate"), F.round("repeated_share", 6).alias("repeated_share")
     )
