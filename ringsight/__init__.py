@@ -1,5 +1,5 @@
 """Ordered-stream and ring-inspection analytics on PySpark."""
 
-from ringsight.session import build_session, checkpoint_root, ensure_checkpoint_dir
+from ringsight.session import build_session, checkpoint_root, settle
 
-__all__ = ["build_session", "checkpoint_root", "ensure_checkpoint_dir"]
+__all__ = ["build_session", "checkpoint_root", "settle"]

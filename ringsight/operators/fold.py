@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringsight.operators.ordered import BLOCK, Lane, halo
-from ringsight.session import ensure_checkpoint_dir
+from ringsight.session import settle
 
 
 def _settle(value):
@@ -58,10 +58,13 @@ def lane_fold(
     """Fold every lane in order.
 
     ``start()`` is the initial state; ``fold(state, pdf) -> (state, out_pdf)`` consumes ordered rows.
-    ``lane.order`` must be a non-negative integer. ``warm`` is the warm-up length in order units.
+    ``lane.order`` must be a non-negative integer. ``warm`` is the warm-up length in order units. On a
+    streaming DataFrame the same fold runs as a stateful processor, one state per lane.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    if df.isStreaming:
+        from ringsight.streaming.processors import stream_fold
+
+        return stream_fold(df, lane, fold, start, schema)
     lane = lane.resolve(df)
     order, group = [lane.order, *lane.ties], lane.block_keys
     key_fields = [df.schema[k] for k in lane.keys] + [T.StructField(BLOCK, T.LongType())]
@@ -85,7 +88,7 @@ def lane_fold(
         return key_row(key, entry, pack(fold(unpack(entry), own)[0]))
 
     rows = df.withColumn(BLOCK, lane.block())
-    states = halo(df, lane, warm, 0).groupBy(*group).applyInPandas(guess, state_schema).checkpoint()
+    states = settle(halo(df, lane, warm, 0).groupBy(*group).applyInPandas(guess, state_schema))
     before = Window.partitionBy(*lane.keys).orderBy(BLOCK)
     first = pack(start())
 
@@ -105,7 +108,7 @@ def lane_fold(
         redone = (
             again.groupBy(*group).cogroup(open_blocks.groupBy(*group)).applyInPandas(redo, state_schema)
         )
-        states = states.join(open_blocks, group, "left_anti").unionByName(redone).checkpoint()
+        states = settle(states.join(open_blocks, group, "left_anti").unionByName(redone))
 
     def emit(key, pdf, settled):
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)

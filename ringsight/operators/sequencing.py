@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ringsight.functions.numeric import half_even, median_of
 from ringsight.operators.fold import lane_fold
 from ringsight.operators.ordered import Lane, Running, framed, lane_keys, numbered, previous, running, with_ordinal
+from ringsight.session import settle
 
 FRAME_RATE = 25.0  # fixed value: nominal frames per second
 ELEMENT_PERIOD = 0.8  # fixed value: seconds per element
@@ -71,7 +72,7 @@ def restart_epochs(df: DataFrame, lane: Lane, sequence: str, window: int = REORD
     """Epoch number of every row of an in-order lane; a big step back in the sequence starts a new one."""
     seen = previous(df, lane, "_prev", sequence)
     back = F.col(sequence) + window < F.col(f"_prev.{sequence}") + 1
-    return running(seen.drop(), lane, epoch=Running("sum", F.when(back, 1).otherwise(0).cast("bigint"))).drop("_prev")
+    return running(settle(seen), lane, epoch=Running("sum", F.when(back, 1).otherwise(0).cast("bigint"))).drop("_prev")
 
 
 def sequence_step(state: dict, seq: int, window: int = REORDER_WINDOW) -> tuple[list[tuple[int, int]], str]:

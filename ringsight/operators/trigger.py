@@ -9,6 +9,7 @@ from ringsight.functions.numeric import clamp, half_even, measured, violations
 from ringsight.operators.ordered import Lane, Running, framed, previous, running
 from ringsight.operators.sequencing import ELEMENT_PERIOD, FRAME_RATE, GAP_SECONDS
 from ringsight.operators.windows import trailing_quantiles
+from ringsight.session import settle
 
 # Fixed values of the slot classification.
 PEAK_READABLE = 0.35
@@ -59,7 +60,7 @@ def fill_virtual_slots(df: DataFrame, lane: Lane, position: str) -> DataFrame:
     gap = (F.col(position) - F.col(f"_prev.{position}")) / FRAME_RATE
     hidden = F.when(gap > GAP_SECONDS, half_even(gap / ELEMENT_PERIOD) - 1).otherwise(0).cast("bigint")
     counted = seen.withColumn("_hidden", F.greatest(F.coalesce(hidden, F.lit(0)), F.lit(0).cast("bigint"))).drop("_prev")
-    ended = running(counted, lane, _end=Running("sum", F.col("_hidden") + 1))
+    ended = running(settle(counted), lane, _end=Running("sum", F.col("_hidden") + 1))
     rows = ended.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_hidden"))))
     real = F.col("_k") == F.col("_hidden")
     kept = [F.when(real, F.col(c)).alias(c) if c not in lane.keys else F.col(c) for c in df.columns]

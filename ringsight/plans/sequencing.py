@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ringsight.operators import sequencing as ops
 from ringsight.operators.ordered import Lane
 from ringsight.plans.registry import query, with_views
+from ringsight.session import settle
 from ringsight.sources import tables as t
 
 BY_SEQUENCE = Lane(("camera_id",), "sequence_no")
@@ -127,7 +128,7 @@ def restart_epochs(spark, sf):
     FROM kept WHERE (top - 5) % 97 > 64 OR seq < top - (top - 5) % 97""",
 )
 def reorder_window(spark, sf):
-    lane = ops.number_frames(t.frames(spark, sf), BY_FRAME).withColumnRenamed("frame_no", "seq")
+    lane = settle(ops.number_frames(t.frames(spark, sf), BY_FRAME).withColumnRenamed("frame_no", "seq"))
     arrival = F.when(F.col("event_id") < 50, F.col("event_id")).otherwise(F.col("arrival"))
     kept = lane.filter(F.col("seq") % 97 != 5).select("camera_id", arrival.alias("arrival"), "event_id", "seq")
     return ops.reorder(kept, BY_ARRIVAL, "seq").select("camera_id", "seq", "missing_before", "outcome")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_ROWS_KEY = "spark.ringsight.blockRows"
 BLOCK_ROWS_DEFAULT = 32768
@@ -56,7 +56,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return existing
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable without overriding a folder that is already set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(checkpoint_root(spark), "rdd"))
+def settle(df: DataFrame) -> DataFrame:
+    """Write a stage once to the shared folder and go on from there.
+
+    A carry needs its input twice (block totals, then rows), so a chain of carries would compute its
+    first stage again and again. A written stage is computed once, is read by column, and survives the
+    loss of the executors that made it. Streams pass through unchanged.
+    """
+    if df.isStreaming:
+        return df
+    path = f"{checkpoint_root(df.sparkSession)}/stages/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
