@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ringsight.functions.numeric import half_even, median_of, violations
 from ringsight.operators.quantiles import grouped_quantiles
+from ringsight.session import settle
 
 # Fixed values of the loop rules.
 HISTORY_LOOPS = 3
@@ -32,7 +33,13 @@ def persistent_list(df: DataFrame, size: int = HISTORY_LOOPS) -> DataFrame:
     """Elements seen short in at least two of the latest loops."""
     recent = df.join(F.broadcast(last_loops(df, size)), "loop", "left_semi").filter("n_views > 0")
     edge = (F.col("status_left") == "edge") | (F.col("status_right") == "edge")
-    staged = recent.withColumn("_fill", F.least("fill_left", "fill_right")).withColumn("_edge", edge.cast("double"))
+    # Only the latest loops are kept, so this stage is small beside the table it is read from.
+    staged = settle(
+        recent.select(
+            "element_id", "loop", "lip", "short_any", F.least("fill_left", "fill_right").alias("_fill"),
+            edge.cast("double").alias("_edge"),
+        )
+    )
     per_loop = staged.groupBy("element_id", "loop").agg(
         F.max("short_any").alias("_short"), F.sum("_edge").alias("_e"), F.count("_edge").alias("_n")
     )

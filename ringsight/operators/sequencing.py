@@ -161,20 +161,25 @@ def arrival_health(
     """Arrival rate and repeated share over the latest frames; NULL while too few have arrived."""
     hashed = df.withColumn("_hash", F.sha2(F.col(content), 256))
     rows = Lane(lane.keys, "_n", (), lane.width)
-
-    def exprs(w):
-        frame = w.rowsBetween(1 - recent, 0)
-        count = F.count(F.lit(1)).over(frame)
-        span = (F.last(at_us).over(frame) - F.first(at_us).over(frame)) / 1_000_000
-        repeated = F.coalesce((F.col("_hash") == F.col("_prev._hash")).cast("double"), F.lit(0.0))
-        rate = F.when(span > 0, (count - 1) / span)
+    count = F.least(F.col("_n") + 1, F.lit(recent))
+
+    def totals(w):
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        repeated = F.coalesce((F.col("_hash") == F.col("_prev._hash")).cast("bigint"), F.lit(0))
+        return {"_total": F.sum(repeated).over(so_far), "_start": F.first(at_us).over(so_far)}
+
+    def health(w):
+        # Differences of running totals: constant work per row, however long the stretch is.
+        began = F.coalesce(F.lag(at_us, recent - 1).over(w), F.col("_start"))
+        span = (F.col(at_us) - began) / 1_000_000
+        repeats = F.col("_total") - F.coalesce(F.lag("_total", recent).over(w), F.lit(0))
         return {
-            "rate": F.when(count >= least, rate),
-            "repeated_share": F.when(count >= least, F.avg(repeated).over(frame)),
+            "rate": F.when((count >= least) & (span > 0), (count - 1) / span),
+            "repeated_share": F.when(count >= least, repeats / count),
         }
 
-    out = framed(numbered(hashed, lane, "_hash"), rows, recent - 1, 0, exprs)
-    return out.drop("_n", "_hash", "_prev")
+    out = framed(numbered(hashed, lane, "_hash"), rows, recent, 0, totals, health)
+    return out.drop("_n", "_hash", "_prev", "_total", "_start")
 
 
 def spaced_step(state: dict, at: np.ndarray, gap: float, strict: bool) -> np.ndarray:

@@ -244,12 +244,12 @@ def _chain(spark, sf):
     return s.join(ring, "at").select("col", (F.col("base") + F.col("x") * 0.25).alias("x"))
 
 
-CHAIN = """chain AS (SELECT s.col, r.x + s.x * 0.25::DOUBLE AS x FROM signal s JOIN signal r ON r.col = s.col % 500),
-pieces AS (SELECT p AS piece, c.col - p * 125 AS o, c.x FROM chain c,
-  range(0, (SELECT CAST(max(col) / 125 AS BIGINT) + 1 FROM signal)) AS g(p) WHERE c.col >= p * 125 AND c.col < p * 125 + 200),
-fulls AS (SELECT piece FROM pieces GROUP BY piece HAVING count(*) = 200),
-nccs AS (SELECT p.piece, k, round(corr(p.x, r.x), 9) AS score FROM pieces p JOIN fulls USING (piece), range(0, 500) AS kk(k), signal r
-  WHERE r.col = (k + p.o) % 500 GROUP BY p.piece, k),
+CHAIN = """ref AS MATERIALIZED (SELECT col, x FROM signal WHERE col < 500),
+chain AS MATERIALIZED (SELECT s.col, r.x + s.x * 0.25::DOUBLE AS x FROM signal s JOIN ref r ON r.col = s.col % 500),
+numbers AS MATERIALIZED (SELECT p FROM range(0, 1000000) AS g(p) WHERE p * 125 + 200 <= (SELECT max(col) + 1 FROM signal)),
+pieces AS MATERIALIZED (SELECT p AS piece, o, c.x FROM numbers, range(0, 200) AS oo(o), chain c WHERE c.col = p * 125 + o),
+nccs AS MATERIALIZED (SELECT p.piece, (r.col - p.o + 500) % 500 AS k, round(corr(p.x, r.x), 9) AS score FROM pieces p CROSS JOIN ref r
+  GROUP BY p.piece, k),
 matched AS (SELECT piece, piece * 125 + 100 AS centre, max(score) AS score, (arg_max(k, (score, -k)) + 100) % 500 AS pos
   FROM nccs GROUP BY piece)"""
 

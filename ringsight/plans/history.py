@@ -307,13 +307,13 @@ def nearest_frame(spark, sf):
     "evidence_box",
     """WITH p AS (SELECT event_id, 200 + (value - 50) * 0.9::DOUBLE + user_id * 0.3::DOUBLE AS px,
       150 + (value - 50) * 0.1::DOUBLE + user_id * 1.1::DOUBLE AS py FROM events)
-    SELECT event_id, round(greatest(px - 60, 0) / 640, 6) AS x, round(greatest(py - 60, 0) / 360, 6) AS y,
-      round((least(px + 60, 640) - greatest(px - 60, 0)) / 640, 6) AS width,
-      round((least(py + 60, 360) - greatest(py - 60, 0)) / 360, 6) AS height FROM p""",
+    SELECT event_id, round(greatest(px - 60, 0) / 647, 6) AS x, round(greatest(py - 60, 0) / 359, 6) AS y,
+      round((least(px + 60, 647) - greatest(px - 60, 0)) / 647, 6) AS width,
+      round((least(py + 60, 359) - greatest(py - 60, 0)) / 359, 6) AS height FROM p""",
 )
 def evidence_box(spark, sf):
     e = t.table(spark, sf, "events")
-    box = ops.evidence_box(F.col("value") - 50, F.col("user_id").cast("double"), (200.0, 150.0), (0.9, 0.1), (0.3, 1.1), 60.0, (640.0, 360.0))
+    box = ops.evidence_box(F.col("value") - 50, F.col("user_id").cast("double"), (200.0, 150.0), (0.9, 0.1), (0.3, 1.1), 60.0, (647.0, 359.0))
     return e.select("event_id", *[F.round(c, 6).alias(n) for n, c in box.items()])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ringsight.operators import rules as ops
 from ringsight.plans.registry import query, with_views
+from ringsight.session import settle
 from ringsight.sources import tables as t
 
 PERSISTENT = """last3 AS (SELECT DISTINCT loop FROM element_rows ORDER BY loop DESC LIMIT 3),
@@ -35,7 +36,7 @@ SPLAYS = """splays AS (SELECT element_id, loop, round_even((bl + br) / 2 * 100,
 
 
 def _persistent(spark, sf):
-    return ops.persistent_list(t.element_rows(spark, sf))
+    return settle(ops.persistent_list(t.element_rows(spark, sf)))
 
 
 def _drops(spark, sf):
@@ -48,7 +49,7 @@ def _splays(spark, sf):
 
 @query("persistent_list", with_views(t.ELEMENT_ROWS, PERSISTENT) + "SELECT * FROM persistent")
 def persistent_list(spark, sf):
-    return _persistent(spark, sf)
+    return ops.persistent_list(t.element_rows(spark, sf))
 
 
 @query("new_drop_alerts", with_views(t.ELEMENT_ROWS, PERSISTENT, LOOPS, DROPS) + "SELECT * FROM drops")
@@ -159,7 +160,9 @@ current_states AS (SELECT element_id, CASE min(CASE status WHEN 'confirmed' THEN
     with_views(t.ELEMENT_ROWS, PERSISTENT, LOOPS, DROPS, SPLAYS, CURRENT) + "SELECT * FROM current_states",
 )
 def current_states(spark, sf):
-    return ops.current_states(_drops(spark, sf), _splays(spark, sf), _persistent(spark, sf))
+    rows, persistent = t.element_rows(spark, sf), _persistent(spark, sf)
+    near = ops.near_plate_ids(persistent)
+    return ops.current_states(ops.new_drop_alerts(rows, near), ops.splay_alerts(rows, near), persistent)
 
 
 @query(
@@ -302,7 +305,8 @@ def state_validation(spark, sf):
 )
 def final_recompute(spark, sf):
     """End of stream: every list from the whole table, every event once."""
-    drops = _drops(spark, sf).select(F.lit("damage").alias("kind"), "element_id", "loop", F.col("status").alias("state"))
-    splays = _splays(spark, sf).select(F.lit("splay").alias("kind"), "element_id", "loop", F.col("status").alias("state"))
+    rows, near = t.element_rows(spark, sf), ops.near_plate_ids(_persistent(spark, sf))
+    drops = ops.new_drop_alerts(rows, near).select(F.lit("damage").alias("kind"), "element_id", "loop", F.col("status").alias("state"))
+    splays = ops.splay_alerts(rows, near).select(F.lit("splay").alias("kind"), "element_id", "loop", F.col("status").alias("state"))
     events = drops.unionByName(splays).filter("state <> 'not confirmed'")
     return ops.emit_once(events, ["kind", "element_id", "loop"], ["state"])
