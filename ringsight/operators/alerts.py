@@ -246,7 +246,8 @@ def in_schedule(enabled: Column, start: Column, stop: Column, minute: Column) ->
 
 
 def local_minute(at: Column, zone: Column) -> Column:
-    local = F.from_utc_timestamp(at, zone)
+    """Minute of the day in ``zone`` of a zone-less UTC time, whatever the session zone."""
+    local = F.convert_timezone(F.lit("UTC"), zone, at)
     return F.hour(local) * 60 + F.minute(local)
 
 

@@ -16,10 +16,10 @@ YEAR_1998, YEAR_1999 = 883_612_800_000_000, 915_148_800_000_000
 @query(
     "qualifying_detections",
     with_views(t.PROFILES)
-    + "SELECT vec_id, i AS detection_no, round(profile[i], 6) AS score FROM profiles, range(1, 9) AS g(i) WHERE profile[i] >= 0.1",
+    + "SELECT vec_id, i AS detection_no, round(profile[i], 6) AS score FROM profiles, range(1, 65) AS g(i) WHERE profile[i] >= 0.1",
 )
 def qualifying_detections(spark, sf):
-    found = F.transform(F.slice("profile", 1, 8), lambda v, i: F.struct((i + 1).alias("no"), v.alias("score")))
+    found = F.transform("profile", lambda v, i: F.struct((i + 1).alias("no"), v.alias("score")))
     out = ops.qualifying_detections(t.profiles(spark, sf).select("vec_id", found.alias("detections")), 0.1)
     return out.select("vec_id", F.col("detection.no").cast("bigint").alias("detection_no"), F.round("detection.score", 6).alias("score"))
 
@@ -298,7 +298,7 @@ def schedule_membership(spark, sf):
     start = F.concat(two((u * 7) % 24), F.lit(":15"))
     stop = F.when(u % 13 == 0, start).otherwise(F.concat(two((u * 5) % 24), F.lit(":30")))
     start = F.when(F.col("event_id") % 17 == 0, "25:99").otherwise(start)
-    minute = ops.local_minute(F.timestamp_micros(t.micros("ts")), F.lit("+01:00"))
+    minute = ops.local_minute(F.col("ts"), F.lit("+01:00"))
     inside = ops.in_schedule(u % 11 != 0, start, stop, minute)
     return t.table(spark, sf, "events").select("event_id", inside.alias("inside"))
 

@@ -248,10 +248,10 @@ def valley_score(spark, sf):
 @query(
     "ensemble_mean",
     with_views(t.PROFILES)
-    + "SELECT vec_id, round(list_avg(list_transform(profile[1:5], lambda v: 1 / (1 + exp(-v)))), 6) AS probability FROM profiles",
+    + "SELECT vec_id, round(list_avg(list_transform(profile, lambda v: 1 / (1 + exp(-v)))), 6) AS probability FROM profiles",
 )
 def ensemble_mean(spark, sf):
-    p = ops.ensemble_mean(F.slice("profile", 1, 5))
+    p = ops.ensemble_mean(F.col("profile"))
     return t.profiles(spark, sf).select("vec_id", F.round(p, 6).alias("probability"))
 
 
