@@ -61,7 +61,9 @@ class Running:
     """One running value.
 
     ``kind`` is sum, max, min or last (last non-null). ``reverse`` scans from the end (so ``last``
-    becomes the next non-null value). ``inclusive=False`` leaves the current row out.
+    becomes the next non-null value). ``inclusive=False`` leaves the current row out. ``fields`` says that
+    the value is a struct of these columns: block totals are then taken field by field, which keeps
+    numbers in a hash aggregate, where a struct would have to be sorted.
     """
 
     kind: str
@@ -69,6 +71,7 @@ class Running:
     inclusive: bool = True
     reverse: bool = False
     default: object = field(default=None)
+    fields: tuple[str, ...] = ()
 
     def summarise(self, lane: Lane) -> Column:
         if self.kind == "sum":
@@ -77,6 +80,9 @@ class Running:
             return F.max(self.value)
         if self.kind == "min":
             return F.min(self.value)
+        if self.kind == "last" and self.fields:
+            by = F.min_by if self.reverse else F.max_by
+            return F.struct(*[by(F.col(c), lane.position()).alias(c) for c in self.fields])
         if self.kind == "last":
             at = F.when(self.value.isNotNull(), lane.position())
             return (F.min_by if self.reverse else F.max_by)(self.value, at)
@@ -123,7 +129,7 @@ def running(df: DataFrame, lane: Lane, **specs: Running) -> DataFrame:
 def previous(df: DataFrame, lane: Lane, name: str, *columns: str, reverse: bool = False) -> DataFrame:
     """Add the preceding (or following) row of the lane as a struct; NULL at the end of the lane."""
     return running(
-        df, lane, **{name: Running("last", F.struct(*columns), inclusive=False, reverse=reverse)}
+        df, lane, **{name: Running("last", F.struct(*columns), inclusive=False, reverse=reverse, fields=columns)}
     )
 
 
@@ -134,7 +140,7 @@ def numbered(df: DataFrame, lane: Lane, *columns: str, name: str = "_n", before:
         lane,
         **{
             name: Running("sum", F.lit(1).cast("bigint")),
-            before: Running("last", F.struct(*columns), inclusive=False),
+            before: Running("last", F.struct(*columns), inclusive=False, fields=columns),
         },
     )
     return out.withColumn(name, F.col(name) - 1)
