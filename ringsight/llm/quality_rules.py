@@ -125,22 +125,20 @@ def judge(measured: DataFrame) -> DataFrame:
     sides = [f"{k}_{s}" for k in RATIOS for s in ("least", "most")]
     own = fences(sketches, ["lang", "source"]).filter(F.col("size") >= MIN_GROUP)
     by_lang = fences(sketches, ["lang"]).filter(F.col("size") >= MIN_GROUP)
-    whole = fences(sketches.withColumn("all", F.lit(1)), ["all"])
+    whole = fences(sketches.withColumn("all", F.lit(1)), ["all"]).first()  # one row
     groups = measured.select("lang", "source").distinct()
 
     def named(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
         return df.select(*[F.col(k).alias(f"_{prefix}_{k}") for k in keys], *[F.col(s).alias(f"_{prefix}_{s}") for s in sides])
 
-    a, b, c = named(own, "a", ["lang", "source"]), named(by_lang, "b", ["lang"]), named(whole, "c", ["all"])
+    a, b = named(own, "a", ["lang", "source"]), named(by_lang, "b", ["lang"])
     limits = (
-        groups.withColumn("_all", F.lit(1))
-        .join(a, groups["lang"].eqNullSafe(a["_a_lang"]) & groups["source"].eqNullSafe(a["_a_source"]), "left")
+        groups.join(a, groups["lang"].eqNullSafe(a["_a_lang"]) & groups["source"].eqNullSafe(a["_a_source"]), "left")
         .join(b, groups["lang"].eqNullSafe(b["_b_lang"]), "left")
-        .join(c, F.col("_all") == c["_c_all"], "left")
         .select(
             groups["lang"].alias("_l_lang"),
             groups["source"].alias("_l_source"),
-            F.struct(*[F.coalesce(f"_a_{s}", f"_b_{s}", f"_c_{s}").alias(s) for s in sides]).alias("_limits"),
+            F.struct(*[F.coalesce(f"_a_{s}", f"_b_{s}", F.lit(whole[s] if whole else None).cast("long")).alias(s) for s in sides]).alias("_limits"),
         )
     )
     joined = measured.join(

@@ -11,6 +11,10 @@ keys within the threshold. Keys that hold more than ``CELL_ROWS`` fingerprints a
 chunks is a cell of its own, so no task holds a hot key. All candidates in a cell are verified; what leaves the cell is
 a forest that connects what is linked there, not the links, so output is linear in the fingerprints.
 
+A wider search (``near``) also links fingerprints that differ in more bits, if a second fingerprint over longer
+shingles is close as well: ``keep_one`` so finds copies with a similarity of about 0.8 or more on five-word shingles, which differ in up
+to nine bits of the first fingerprint, where three bits find a third of them.
+
 Null and empty texts have fingerprint zero and link like any other. Rows without doc_id get a fingerprint and no
 component, and link nothing. Rows that share a doc_id belong to each of their components, which so become one. Columns
 other than doc_id and text are not read. An empty table gives an empty result.
@@ -19,7 +23,9 @@ other than doc_id and text are not read. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,41 +45,60 @@ SAMPLE_ROWS = 4096
 PROBE_COST, PAIR_COST = 40.0, 1.0
 
 
+@dataclass(frozen=True)
+class Near:
+    """A wider link: at most ``radius`` bits on the first fingerprint and ``confirm`` on one over ``shingle`` words."""
+
+    radius: int = 9
+    shingle: int = 5
+    confirm: int = 14
+
+
+COPIES = Near()
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of one text; shingles count as often as they occur."""
+def fingerprint(text: bytes, *shingles: int) -> list[int]:
+    """SimHash of one text for each shingle length; shingles count as often as they occur."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * len(shingles)
     flat = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start = end - size
-    n = max(len(words) - shingle + 1, 1)
-    last = end[shingle - 1 :] if len(words) >= shingle else end[-1:]
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 32768):
-        part = [xxh64_intdigest(flat[a:b], SEED) for a, b in zip(start[at : min(at + 32768, n)].tolist(), last[at : at + 32768].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long."""
+    made = []
+    for shingle in shingles:
+        n = max(len(words) - shingle + 1, 1)
+        last = end[shingle - 1 :] if len(words) >= shingle else end[-1:]
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, n, 32768):
+            part = [xxh64_intdigest(flat[a:b], SEED) for a, b in zip(start[at : min(at + 32768, n)].tolist(), last[at : at + 32768].tolist(), strict=True)]
+            bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts += bits.sum(0, dtype=np.int64)
+        made.append(int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0]))
+    return made
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, second: int | None = None) -> DataFrame:
+    """(doc_id, fp, fp2): fingerprints as signed longs; fp2 is zero without a second shingle length."""
+    lengths = (shingle,) if second is None else (shingle, second)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = raw(batch.column(1))
-            made = np.fromiter((fingerprint(t, shingle) for t in texts_of(buf, off)), U64, len(off) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+            made = np.zeros((len(off) - 1, 2), U64)
+            for i, text in enumerate(texts_of(buf, off)):
+                made[i, : len(lengths)] = fingerprint(text, *lengths)
+            prints = np.ascontiguousarray(made.T).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints[0]), pa.array(prints[1])], names=["doc_id", "fp", "fp2"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(each, "doc_id long, fp long")
+    return read.mapInArrow(each, "doc_id long, fp long, fp2 long")
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -115,7 +140,7 @@ def allocate(sample: np.ndarray, groups: list[list[int]], rows: int, radius: int
         cost = [0.0]
         probes, even = 0, 0.0
         for t in range(radius + 1):
-            n = len(list(combinations(range(len(group)), t)))
+            n = comb(len(group), t)
             probes += n
             even += n / 2.0 ** len(group)
             share = max(near[: t + 1].sum() / pairs, even)
@@ -160,31 +185,39 @@ def _probes(plan: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
     return rows
 
 
-def _verify_cells(radius: int):
-    """Links inside cells. Rows come sorted by (part, key, cell); the last cell waits for the next batch."""
+def _verify_cells(radius: int, near: Near | None):
+    """Links inside cells. Rows come sorted by (part, key, cell, role); the last cell waits for the next batch."""
 
-    def links(fp: np.ndarray, role: np.ndarray, chunk: np.ndarray, split: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def close(a: np.ndarray, b: np.ndarray, a2: np.ndarray, b2: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(a ^ b)
+        linked = apart <= radius
+        if near:
+            linked |= (apart <= near.radius) & (np.bitwise_count(a2 ^ b2) <= near.confirm)
+        return linked
+
+    def links(cols: list[np.ndarray], head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Stored fingerprints, which lead their cell, against all rows after them."""
+        _, _, _, chunk, split, role, fp, fp2, root = cols
+        fp, fp2 = fp.view(U64), fp2.view(U64)
         size = np.diff(np.append(head, len(fp)))
         end = np.repeat(head + size, size)
         a, b = [], []
-        at = np.arange(len(fp))
+        at = np.flatnonzero(role == 0)
         step = 1
-        at = at[at + step < end]
+        at = at[at + step < end[at]]
         while len(at):
             other = at + step
-            close = np.bitwise_count(fp[at] ^ fp[other]) <= radius
-            close &= (role[at] == 0) | (role[other] == 0)
-            close &= (split[at] == 0) | (chunk[at] != chunk[other])
-            close &= fp[at] != fp[other]
-            a.append(at[close])
-            b.append(other[close])
+            linked = close(fp[at], fp[other], fp2[at], fp2[other])
+            linked &= ((split[at] == 0) | (chunk[at] != chunk[other])) & (root[at] != root[other])
+            a.append(at[linked])
+            b.append(other[linked])
             step += 1
             at = at[at + step < end[at]]
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def forest(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One edge from every linked fingerprint to the smallest of those it is connected with here."""
-        nodes, index = np.unique(np.concatenate([fp[a], fp[b]]), return_inverse=True)
+    def forest(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One edge from every linked node to the smallest of those it is connected with here."""
+        nodes, index = np.unique(np.concatenate([root[a], root[b]]), return_inverse=True)
         i, j = index[: len(a)], index[len(a) :]
         label = np.arange(len(nodes))
         while True:
@@ -196,14 +229,14 @@ def _verify_cells(radius: int):
             if (label == before).all():
                 break
         moved = label != np.arange(len(nodes))
-        return nodes[moved].view(np.int64), nodes[label[moved]].view(np.int64)
+        return nodes[moved], nodes[label[moved]]
 
     def judge(cols: list[np.ndarray]) -> pa.RecordBatch:
-        part, key, cell, chunk, split, role, fp = cols
+        part, key, cell = cols[:3]
         fresh = (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
         head = np.concatenate([[0], np.flatnonzero(fresh) + 1])
-        a, b = links(fp.view(U64), role, chunk, split, head)
-        u, v = forest(fp.view(U64), a, b) if len(a) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        a, b = links(cols, head)
+        u, v = forest(cols[8], a, b) if len(a) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +244,7 @@ def _verify_cells(radius: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
@@ -225,55 +258,57 @@ def _verify_cells(radius: int):
     return run
 
 
-def links(distinct: DataFrame, plan: list[tuple[int, int]], radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Edges (u, v) that connect all fingerprints within the radius. ``distinct``: one column fp, each value once."""
+def links(nodes: DataFrame, plan: list[tuple[int, int]], radius: int = RADIUS, near: Near | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Edges (u, v) between roots that connect all nodes that link. ``nodes``: fp, fp2 and root, each (fp, fp2) once.
+
+    The plan must cover the wider radius where there is one.
+    """
     probes = F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, ("part", "mask", "flip", "role"), strict=True)]) for row in _probes(plan)]))
-    rows = distinct.select("fp", probes.alias("p")).select(
+    rows = nodes.select("fp", "fp2", "root", probes.alias("p")).select(
         F.col("p.part").alias("part"),
         F.col("fp").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")).alias("key"),
         F.col("p.role").alias("role"),
         "fp",
+        "fp2",
+        "root",
     )
-    # Mostly one row a group: worth a column in the shuffle of the groups only where a key is hot.
     hot = rows.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows)
     pieces = F.ceil(F.col("n") / F.lit(cell_rows)).cast("int")
     joined = rows.join(hot, ["part", "key"], "left").withColumn("pieces", F.coalesce(pieces, F.lit(1)))
-    chunked = joined.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+    chunked = joined.withColumn("chunk", F.pmod(F.xxhash64("root"), F.col("pieces")).cast("int"))
     cells = (
         chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         .withColumn("cell", F.least("chunk", "other") * F.col("pieces") + F.greatest("chunk", "other"))
         .withColumn("split", (F.col("chunk") != F.col("other")).cast("int"))
     )
     # Off the diagonal, rows of one chunk already met each other in its own cell.
-    verified = (
-        cells.select("part", "key", F.col("cell").cast("long").alias("cell"), "chunk", "split", "role", "fp")
+    return (
+        cells.select("part", "key", F.col("cell").cast("long").alias("cell"), "chunk", "split", "role", "fp", "fp2", "root")
         .repartition("part", "key", "cell")
-        .sortWithinPartitions("part", "key", "cell")
-        .mapInArrow(_verify_cells(radius), "u long, v long")
+        .sortWithinPartitions("part", "key", "cell", "role")
+        .mapInArrow(_verify_cells(radius, near), "u long, v long")
     )
-    return verified
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, near: Near | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
-    prints = settle(fingerprints(docs, shingle))
+    prints = settle(fingerprints(docs, shingle, near.shingle if near else None))
     owned = prints.filter("doc_id is not null")
-    roots = owned.groupBy("fp").agg(F.min("doc_id").alias("root"))
-    rows = roots.count()
+    nodes = settle(owned.groupBy("fp", "fp2").agg(F.min("doc_id").alias("root")))
+    rows = nodes.count()
     every = max(rows // SAMPLE_ROWS, 1)
-    sample = np.array(
-        [r["fp"] for r in roots.filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).collect()],
-        np.int64,
-    ).view(U64)
-    edges = links(roots.select("fp"), search_plan(sample, rows, radius), radius)
-    # Rows that share a doc_id tie their fingerprints together.
-    shared = owned.groupBy("doc_id").agg(F.min("fp").alias("u"), F.max("fp").alias("w")).filter("u <> w").select("doc_id", "u")
-    tied = owned.join(shared, "doc_id").filter("fp <> u").select("u", F.col("fp").alias("v"))
-    found = components(edges.unionAll(tied))
-    labelled = roots.join(found, roots["fp"] == found["node"], "left").select("fp", "root", F.coalesce("component", "fp").alias("c"))
-    least = labelled.groupBy("c").agg(F.min("root").alias("component_id"))
-    by_print = labelled.join(least, "c").select("fp", "component_id")
-    return prints.join(by_print, "fp", "left").select(
+    picked = nodes.filter(F.pmod(F.xxhash64("fp", "fp2"), F.lit(every)) == 0).orderBy(F.xxhash64("fp", "fp2"))
+    sample = np.array([r["fp"] for r in picked.select("fp").limit(SAMPLE_ROWS).collect()], np.int64).view(U64)
+    wide = near.radius if near else radius
+    edges = links(nodes, search_plan(sample, rows, wide), radius, near)
+    # A doc_id ties the fingerprints of its rows together, and fingerprints whose roots are one id.
+    by_row = owned.join(nodes, ["fp", "fp2"]).select("doc_id", "root").filter("doc_id <> root")
+    shared = by_row.groupBy("doc_id").agg(F.min("root").alias("u"), F.max("root").alias("v")).filter("u <> v").select("doc_id")
+    tied = by_row.join(shared, "doc_id").select(F.col("doc_id").alias("u"), F.col("root").alias("v"))
+    rooted = by_row.join(nodes.select(F.col("root").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("root").alias("v"))
+    found = components(edges.unionAll(tied).unionAll(rooted))
+    labelled = nodes.join(found, nodes["root"] == found["node"], "left").select("fp", "fp2", F.coalesce("component", "root").alias("component_id"))
+    return prints.join(labelled, ["fp", "fp2"], "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
 
@@ -283,9 +318,9 @@ def hex_print(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, near: Near | None = COPIES) -> DataFrame:
     """The documents without near copies: of each component the smallest doc_id stays, once. Rows without doc_id stay."""
-    found = near_duplicates(docs, radius, shingle)
+    found = near_duplicates(docs, radius, shingle, near)
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.filter("doc_id is not null")
     staying = named.join(kept, named["doc_id"].cast("long") == kept["_kept"], "left_semi")

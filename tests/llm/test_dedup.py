@@ -124,23 +124,54 @@ def test_every_plan_finds_all_links(spark, cell_rows, parts):
     _, chosen = simhash_dedup.allocate(sample, groups, len(values))
     assert sum(chosen) == 3 - parts + 1
     plan = [(sum(1 << b for b in g), t) for g, t in zip(groups, chosen, strict=True) if t >= 0]
-    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, 0, i) for i, v in enumerate(values)], "fp long, fp2 long, root long")
     edges = simhash_dedup.links(df, plan, cell_rows=cell_rows)
-    got = {r["node"] & (2**64 - 1): r["component"] & (2**64 - 1) for r in components.components(edges).collect()}
+    got = {values[r["node"]]: values[r["component"]] for r in components.components(edges).collect()}
     want = brute_components(values, lambda a, b: (a ^ b).bit_count() <= 3)
     classes = lambda m: {frozenset(k for k in m if m[k] == c) for c in set(m.values())}
     assert classes({v: got.get(v, v) for v in values}) == classes(want)
 
 
-def test_keep_one(spark):
+@pytest.mark.parametrize("near", [None, simhash_dedup.COPIES])
+def test_keep_one(spark, near):
     rows = edge_rows()
-    got = [r["doc_id"] for r in simhash_dedup.keep_one(docs(spark, rows, extra=True)).collect()]
-    found = simhash_dedup.near_duplicates(docs(spark, rows)).collect()
+    got = [r["doc_id"] for r in simhash_dedup.keep_one(docs(spark, rows, extra=True), near=near).collect()]
+    found = simhash_dedup.near_duplicates(docs(spark, rows), near=near).collect()
     want = {r["component_id"] for r in found if r["doc_id"] is not None}
     named = [d for d in got if d is not None]
     assert sorted(named) == sorted(want) and got.count(None) == 2
 
 
+def test_wider_search_matches_brute_force(spark):
+    """Copies with some words changed: linked by both fingerprints, however the plan splits the bits."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        base = words(rng, 150, 3000)
+        for j in range(4):
+            text = list(base)
+            for _ in range(2 * j):
+                text[rng.randrange(len(text))] = f"new{rng.randrange(10**6)}"
+            rows.append((4 * i + j, " ".join(text)))
+    near = simhash_dedup.COPIES
+    found = simhash_dedup.near_duplicates(docs(spark, rows), near=near).collect()
+    prints = {d: simhash_dedup.fingerprint(t.encode(), 3, 5) for d, t in rows}
+    apart = lambda a, b, k: (prints[a][k] ^ prints[b][k]).bit_count()
+    linked = lambda a, b: apart(a, b, 0) <= 3 or (apart(a, b, 0) <= near.radius and apart(a, b, 1) <= near.confirm)
+    assert {r["doc_id"]: r["component_id"] for r in found} == brute_components(sorted(prints), linked)
+    assert all(r["component_id"] // 4 == r["doc_id"] // 4 for r in found)
+    assert sum(r["component_id"] == r["doc_id"] for r in found) < 150
+
+
+def test_doc_ids_tie_their_rows(spark):
+    """Rows of one doc_id, also where that id is the smallest of another fingerprint's rows."""
+    rng = random.Random(13)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, c), (4, c), (5, " ".join(words(rng, 60)))]
+    found = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
     assert {r["component"] for r in components.components(edges).collect()} == {0}
