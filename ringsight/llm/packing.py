@@ -21,6 +21,7 @@ and text are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringsight.llm.stages import settle
-from ringsight.llm.words import chunks, raw
+from ringsight.llm.words import Lexicon, chunks, raw, spans
 
 WINDOW = 4096
 UNIT = 16
@@ -38,7 +39,6 @@ DEPTH = 3
 SHARD_ROWS = 50_000
 MIN_SHARDS, MAX_SHARDS = 64, 65_536
 END_ID = 2
-CACHE_WORDS = 400_000
 
 PIECES = "doc_id long, part int, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -46,76 +46,69 @@ PIECES = "doc_id long, part int, start long, length long, ids_crc32 long, doc_to
 # ---------------------------------------------------------------- tokens
 
 
-class _Vocabulary:
-    """Ids of white-space separated chunks, remembered up to a bound. The tokenizer drops white space and never
-    joins across it, so the ids of a text are those of its chunks in order."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def learn(self, chunk_set: list[bytes]) -> None:
-        if len(self.codes) + len(chunk_set) > CACHE_WORDS:
-            self.reset()
-        for at in range(0, len(chunk_set), 4096):
-            part = chunk_set[at : at + 4096]
-            made = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            for chunk, encoding in zip(part, made, strict=True):
-                ids = encoding.ids
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                code = len(self.codes)
-                if code + 1 >= len(self.ends):
-                    self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-                self.codes[chunk] = code
-                self.ends[code + 1] = self.used
-
-    def encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the chunks in order, and the number of ids of each chunk."""
-        new = list(set(parts).difference(self.codes))
-        if new:
-            if len(self.codes) + len(new) > CACHE_WORDS:
-                self.reset()
-                new = list(set(parts))
-            self.learn(new)
-        code = np.fromiter(map(self.codes.__getitem__, parts), np.int64, len(parts))
-        first, count = self.ends[code], self.ends[code + 1] - self.ends[code]
-        before = np.cumsum(count) - count
-        at = np.arange(int(count.sum()), dtype=np.int64) + np.repeat(first - before, count)
-        return self.ids[at], count
-
-
-_LOADED: dict[str, _Vocabulary] = {}
-
-
-def _vocabulary(path: str) -> _Vocabulary:
+_SEPARATOR = "<|endoftext|>"
+_JOINED = 256
+
+
+def _learner(path: str):
+    """Ids of white-space separated words. The tokenizer drops white space and never joins across it, so the ids of a
+    text are those of its words in order. Words are encoded many at a time, with a special token between."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would hold memory of their own
+    tokenizer = Tokenizer.from_file(path)
+    mark = tokenizer.token_to_id(_SEPARATOR)
+
+    def learn(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        alone = {i for i, t in enumerate(texts) if _SEPARATOR in t} if mark is not None else set(range(len(texts)))
+        plain = [t for i, t in enumerate(texts) if i not in alone]
+        made: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        for at in range(0, len(plain), _JOINED * 64):
+            groups = [plain[i : i + _JOINED] for i in range(at, min(at + _JOINED * 64, len(plain)), _JOINED)]
+            for group, encoding in zip(
+                groups, tokenizer.encode_batch_fast([_SEPARATOR.join(g) for g in groups], add_special_tokens=False), strict=True
+            ):
+                ids = np.array(encoding.ids, np.uint32)
+                borders = np.flatnonzero(ids == mark)
+                edge = np.concatenate([[-1], borders, [len(ids)]])
+                if len(edge) != len(group) + 1:
+                    raise ValueError("the special token does not separate words")
+                made.append(np.delete(ids, borders))
+                counts.append(np.diff(edge) - 1)
+        ids = np.concatenate([np.zeros(0, np.uint32), *made])
+        count = np.concatenate([np.zeros(0, np.int64), *counts])
+        if alone:
+            parts, own = np.split(ids, np.cumsum(count)[:-1]) if len(count) else [], iter(range(len(count)))
+            rows = [
+                np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if i in alone else parts[next(own)]
+                for i, t in enumerate(texts)
+            ]
+            ids, count = np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+        return ids, count, np.ones(len(words), bool)
+
+    return learn
+
+
+_LOADED: dict[str, Lexicon] = {}
+
+
+def _lexicon(path: str) -> Lexicon:
     if path not in _LOADED:
-        _LOADED[path] = _Vocabulary(path)
+        _LOADED[path] = Lexicon(_learner(path))
     return _LOADED[path]
 
 
-def document_ids(texts: list[bytes], path: str) -> Iterator[np.ndarray]:
+def document_ids(buf: np.ndarray, off: np.ndarray, lexicon: Lexicon) -> Iterator[np.ndarray]:
     """Token ids of each text, with the end mark."""
-    vocabulary = _vocabulary(path)
-    lists = [t.split() for t in texts]
-    flat = [c for parts in lists for c in parts]
-    ids, count = vocabulary.encode(flat)
+    start, end, words = spans(buf, off)
+    ids, count, _ = lexicon.encode(buf, start, end)
     upto = np.concatenate([[0], np.cumsum(count)])
-    at = np.concatenate([[0], np.cumsum([len(parts) for parts in lists], dtype=np.int64)])
-    bound = upto[at]
-    end = np.array([END_ID], np.uint32)
+    bound = upto[np.concatenate([[0], np.cumsum(words)])]
+    mark = np.array([END_ID], np.uint32)
     for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
-        yield np.concatenate([ids[a:b], end])
+        yield np.concatenate([ids[a:b], mark])
 
 
 def token_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
@@ -125,12 +118,10 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             buf, off = raw(batch.column(1))
             keys = batch.column(0)
-            for first, last in chunks(off):
-                data = buf[off[first] : off[last]].tobytes()
-                edge = (off[first : last + 1] - off[first]).tolist()
-                texts = [data[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            for first, last in chunks(off, 1 << 20):
                 rows: list[tuple[int, int, int, int, int, int]] = []
-                for i, ids in enumerate(document_ids(texts, path)):
+                part_off = off[first : last + 1] - off[first]
+                for i, ids in enumerate(document_ids(buf[off[first] : off[last]], part_off, _lexicon(path))):
                     n = len(ids)
                     for part, start in enumerate(range(0, n, window)):
                         piece = ids[start : start + window].astype("<u4")

@@ -28,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringsight.llm.words import chunks, raw
+from ringsight.llm.words import Lexicon, chunks, raw, spans
 
 MARK = "▁"
-CACHE_WORDS = 400_000
 #: Fixed values of the message format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -169,27 +168,24 @@ class Codec:
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_word = words_stand_alone(self.model)
         self.part = build(self.model, prefix=False) if self.by_word else None
-        self.reset()
+        self.lexicon = Lexicon(self._learn) if self.by_word else None
 
-    def reset(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.good: list[bool] = []
-
-    def _learn(self, parts: list[bytes]) -> None:
+    def _learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, count, good = [np.zeros(0, np.uint32)], [], []
         for at in range(0, len(parts), 8192):
             texts = [p.decode("utf-8", "replace") for p in parts[at : at + 8192]]
             made = self.part.encode_batch_fast(texts, add_special_tokens=False)
             # the original puts the first marker in front by itself
             want = self.original.encode([t[1:] for t in texts], num_threads=1)
-            for part, text, m, w in zip(parts[at : at + 8192], texts, made, want, strict=True):
-                self.codes[part] = len(self.ids)
-                self.ids.append(np.array(m.ids, np.uint32))
-                self.good.append(m.ids == (w if len(text) > 1 else self._bare()))
+            rows = [m.ids for m in made]
+            ids.append(np.fromiter((i for row in rows for i in row), np.uint32))
+            count += [len(row) for row in rows]
+            good += [row == (w if len(t) > 1 else self._bare()) for t, row, w in zip(texts, rows, want, strict=True)]
+        return np.concatenate(ids), np.array(count, np.int64), np.array(good, bool)
 
     def _bare(self) -> list[int]:
-        """A marker alone: the original gives no ids for an empty text, so take it from one that starts with it."""
-        return self.original.encode(" ")[:-1] or self.original.piece_to_id([MARK])
+        """A marker alone: the original gives no ids for an empty text."""
+        return self.original.piece_to_id([MARK])
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, bool]]:
         """Ids of each text, and whether the original implementation gives the same."""
@@ -199,22 +195,32 @@ class Codec:
             for m, want in zip(made, self.original.encode(plain, num_threads=1), strict=True):
                 yield np.array(m.ids, np.uint32), m.ids == want
             return
-        cut = [_PART.findall(b" " + t.replace(_MARK_BYTES, b" ")) if t else [] for t in texts]
-        new = list({p for parts in cut for p in parts}.difference(self.codes))
-        if new and len(self.codes) + len(new) > CACHE_WORDS:
-            self.reset()
-            new = list({p for parts in cut for p in parts})
-        self._learn(new)
-        for parts in cut:
-            codes = list(map(self.codes.__getitem__, parts))
-            if codes:
-                yield np.concatenate([self.ids[c] for c in codes]), all(self.good[c] for c in codes)
-            else:
-                yield np.zeros(0, np.uint32), True
+        marked = [b" " + t.replace(_MARK_BYTES, b" ") if t else b"" for t in texts]
+        buf = np.frombuffer(b"".join(marked), np.uint8)
+        off = np.concatenate([[0], np.cumsum([len(t) for t in marked], dtype=np.int64)])
+        start, end, _ = spans(buf, off, _BLANK)
+        # a part reaches from the end of the word before, so it has all markers in front; markers at the end of a text are a part
+        owner = np.searchsorted(off, start, side="right") - 1
+        begin = off[owner]
+        begin[1:] = np.maximum(begin[1:], end[:-1])
+        last = np.concatenate([[0], np.maximum.accumulate(end)])[np.searchsorted(start, off[1:])]
+        tail = np.maximum(last, off[:-1])
+        tail_rows = np.flatnonzero(tail < off[1:])
+        begin = np.concatenate([begin, tail[tail_rows]])
+        end = np.concatenate([end, off[1:][tail_rows]])
+        order = np.argsort(begin, kind="stable")
+        begin, end = begin[order], end[order]
+        ids, count, good = self.lexicon.encode(buf, begin, end)
+        edge = np.searchsorted(begin, off)
+        upto = np.concatenate([[0], np.cumsum(count)])[edge]
+        bad = np.concatenate([[0], np.cumsum(~good)])[edge]
+        for i in range(len(texts)):
+            yield ids[upto[i] : upto[i + 1]], bool(bad[i + 1] == bad[i])
 
 
 _MARK_BYTES = MARK.encode()
-_PART = re.compile(rb" +[^ ]+| +$")
+_BLANK = np.zeros(256, bool)
+_BLANK[32] = True
 _LOADED: dict[str, Codec] = {}
 
 
@@ -232,7 +238,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
         codec = _codec(path)
         for batch in batches:
             buf, off = raw(batch.column(1))
-            for a, b in chunks(off):
+            for a, b in chunks(off, 1 << 21):
                 data = buf[off[a] : off[b]].tobytes()
                 edge = (off[a : b + 1] - off[a]).tolist()
                 rows = list(codec.encode([data[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]))
@@ -267,7 +273,7 @@ def digest(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
         codec = _codec(path)
         for batch in batches:
             buf, off = raw(batch.column(1))
-            for a, b in chunks(off):
+            for a, b in chunks(off, 1 << 21):
                 data = buf[off[a] : off[b]].tobytes()
                 edge = (off[a : b + 1] - off[a]).tolist()
                 texts = [data[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]

@@ -70,16 +70,18 @@ def spans(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> t
 
 def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each span: a sum of one random term per (byte, place), finalised with the length."""
-    if not len(start):
-        return np.zeros(0, U64)
-    length = end - start
-    head = np.cumsum(length) - length
-    place = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(head, length)
-    letters = buf[place + np.repeat(start, length)].astype(np.int64)
-    terms = _TERMS[(letters << 6) | (place & 63)]
-    if length.max() > _POSITIONS:
-        terms = terms * ((place >> 6).astype(U64) * U64(2) + U64(1))
-    return mix(np.add.reduceat(terms, head) + length.astype(U64))
+    out = np.empty(len(start), U64)
+    for at in range(0, len(start), 32768):  # blocks that stay in the processor's cache
+        a = start[at : at + 32768]
+        length = end[at : at + 32768] - a
+        head = np.cumsum(length) - length
+        place = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(head, length)
+        letters = buf[place + np.repeat(a, length)].astype(np.int64)
+        terms = _TERMS[(letters << 6) | (place & 63)]
+        if length.max() > _POSITIONS:
+            terms = terms * ((place >> 6).astype(U64) * U64(2) + U64(1))
+        out[at : at + 32768] = mix(np.add.reduceat(terms, head) + length.astype(U64))
+    return out
 
 
 def rolled(h: np.ndarray, n: int) -> np.ndarray:
@@ -94,3 +96,62 @@ def texts_of(buf: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
     data = buf.tobytes()
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         yield data[a:b]
+
+
+class Lexicon:
+    """What a tokenizer makes of words, remembered by their 64-bit hashes in flat arrays.
+
+    ``learn`` takes new words and gives their ids one after the other, the number of ids of each, and a flag of each. A worker
+    keeps ``limit`` words at most (about 40 bytes each) and then starts anew. Among that many words two share a
+    hash with a chance of one in ten million.
+    """
+
+    def __init__(self, learn, limit: int = 1_000_000):
+        self.learn, self.limit = learn, limit
+        self.reset()
+
+    def reset(self) -> None:
+        self.keys = np.zeros(0, U64)  # sorted
+        self.first = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int32)
+        self.flag = np.zeros(0, bool)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def _missing(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        return ~known
+
+    def _add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray, flag: np.ndarray) -> None:
+        """New words, by ascending key."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        first = self.used + np.cumsum(count) - count
+        self.used += len(ids)
+        at = np.searchsorted(self.keys, keys)
+        self.first = np.insert(self.first, at, first)
+        self.count = np.insert(self.count, at, count)
+        self.flag = np.insert(self.flag, at, flag)
+        self.keys = np.insert(self.keys, at, keys)
+
+    def encode(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words in order, the number of ids of each word, and its flag."""
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
+        keys, where, back = np.unique(hashes(buf, start, end), return_index=True, return_inverse=True)
+        new = self._missing(keys)
+        if new.any() and len(self.keys) + int(new.sum()) > self.limit:
+            self.reset()
+            new = np.ones(len(keys), bool)
+        if new.any():
+            data = buf.tobytes()
+            at = where[new]
+            self._add(keys[new], *self.learn([data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
+        row = np.searchsorted(self.keys, keys)
+        first, count = self.first[row][back], self.count[row][back].astype(np.int64)
+        before = np.cumsum(count) - count
+        at = np.arange(int(count.sum()), dtype=np.int64) + np.repeat(first - before, count)
+        return self.ids[at], count, self.flag[row][back]

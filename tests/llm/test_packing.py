@@ -3,11 +3,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from small import docs, edge_rows
 from tokenizers import Tokenizer
 
 from ringsight.llm import packing
+from ringsight.llm.words import Lexicon, raw
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -51,12 +53,14 @@ def test_empty_table(spark):
     assert packing.pack(docs(spark, [(1, "x")]).filter("doc_id = 2"), PATH).count() == 0
 
 
-def test_vocabulary_forgets_and_learns_again(spark, monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
-    texts = [b"a b c d", b"e f a", b"", b"d d d"]
+def test_lexicon_forgets_and_learns_again():
+    lexicon = Lexicon(packing._learner(PATH), limit=6)
     tokenizer = Tokenizer.from_file(PATH)
-    made = [ids.tolist() for ids in packing.document_ids(texts, PATH)]
-    assert made == [[*tokenizer.encode(t.decode(), add_special_tokens=False).ids, 2] for t in texts]
+    for texts in (["a b c d", "e f a", "", "d d d"], ["x<|endoftext|>y Z's", "a"], ["b b c", "é"]):
+        buf, off = raw(pa.array(texts))
+        made = [ids.tolist() for ids in packing.document_ids(buf, off, lexicon)]
+        assert made == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert len(lexicon.keys) <= 6
 
 
 def test_counts_never_ask_for_more_than_there_is():
