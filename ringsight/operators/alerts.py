@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringsight.functions.numeric import clamp, violations
+from ringsight.operators.ordered import Lane, previous
 from ringsight.operators.trigger import CAMERAS, UUID_PATTERN
 
 # Event kind -> observation target and fault type.
@@ -63,13 +64,17 @@ def events_to_alerts(events: DataFrame, states: DataFrame) -> DataFrame:
     """Alert rows of known pending / confirmed events, with measurements merged from event and state.
 
     Needs event_key, kind, camera_id, element_id, loop_no, state, evidence_frame_id, frame_id,
-    measurements (map<string,double>); states: element_id, lip, near_plate, severity, passes_seen.
+    measurements (map<string,double>); captured_us, model_version, box (struct) and now_us for the stored row; states:
+    camera_id, element_id, lip, near_plate, severity, passes_seen, at most one row of each element. An event whose
+    element has no state keeps its own, with nothing measured.
     """
     good = events.filter(
         F.col("kind").isin(list(EVENT_KINDS)) & F.col("state").isin("pending", "confirmed")
         & (F.col("element_id") > 0) & (F.col("loop_no") >= 0)
     )
-    joined = good.join(states, "element_id")
+    fields = {"lip": 0.0, "near_plate": False, "severity": 0.0, "passes_seen": 0}
+    known = states.select("camera_id", "element_id", *fields)
+    joined = good.join(known, ["camera_id", "element_id"], "left").fillna(fields)
     key = F.when(F.length(F.coalesce("event_key", F.lit(""))) > 0, F.col("event_key")).otherwise(
         event_key(F.col("camera_id"), F.col("element_id"), F.col("loop_no"))
     )
@@ -87,10 +92,19 @@ def events_to_alerts(events: DataFrame, states: DataFrame) -> DataFrame:
     tail = F.create_map(F.lit("state"), F.col("state"), F.lit("last_seen_loop"), text(F.col("loop_no")))
     own = F.map_filter(own, lambda k, _: ~F.array_contains(F.map_keys(extra), k))
     merged = F.map_concat(own, extra, F.map_filter(mark, lambda _, v: v.isNotNull()), tail)
-    return joined.withColumn("event_key", key).withColumn("measurements", merged).select(
-        name_uuid(F.col("event_key")).alias("alert_id"), "event_key", "camera_id", "element_id", "loop_no",
-        F.col("state").alias("alert_state"), target.alias("observation_target"), kind_lookup(F.col("kind"), 1).alias("fault_type"),
-        F.col("frame_id").alias("evidence_frame_id"), "measurements",
+    fault = kind_lookup(F.col("kind"), 1)
+    box, drawn = event_box(F.col("box"), (target == "godet") & ~F.map_contains_key("measurements", F.lit("severity")))
+    whole = F.struct(*[F.lit(v).alias(n) for n, v in zip(("x", "y", "width", "height"), (0.0, 0.0, 1.0, 1.0))])
+    shown = F.when(drawn, box).otherwise(whole)
+    named = joined.withColumn("_box", shown).withColumn("event_key", key).withColumn("alert_id", name_uuid(F.col("event_key")))
+    captured = F.coalesce(F.nullif("captured_us", F.lit(0)), F.col("now_us"))
+    return named.withColumn("measurements", merged).select(
+        "alert_id", "event_key", "camera_id", "element_id", "loop_no",
+        F.col("state").alias("alert_state"), target.alias("observation_target"), fault.alias("fault_type"), fault.alias("rule_id"),
+        "frame_id", F.col("frame_id").alias("evidence_frame_id"), "model_version",
+        captured.alias("captured_us"), F.col("now_us").alias("detected_us"), F.col("now_us").alias("created_us"),
+        F.col("_box").alias("box"), evidence_path(F.date_from_unix_date(F.floor(captured / 86_400_000_000).cast("int")), F.col("camera_id"), F.col("alert_id")).alias("evidence_ref"),
+        "measurements",
     )
 
 
@@ -143,11 +157,13 @@ def insert_ignore(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> Da
     return incoming.select(*keys).distinct().join(stored.select(*keys), keys, "left_anti")
 
 
-def changed_events(events: DataFrame, stored: DataFrame, keys: list[str], state: str) -> DataFrame:
-    """Events whose state differs from the stored one, or that are not stored at all."""
+def changed_events(events: DataFrame, stored: DataFrame, keys: list[str], state: str, order: str) -> DataFrame:
+    """Events whose state differs from what their key had before: the preceding event in arrival order, or else the
+    stored row. ``order`` is an integer."""
     known = stored.groupBy(*keys).agg(F.max(state).alias("_stored"))
-    joined = events.join(known, keys, "left")
-    return joined.filter(F.col("_stored").isNull() | (F.col("_stored") != F.col(state))).drop("_stored")
+    seen = previous(events, Lane(tuple(keys), order), "_before", state).join(known, keys, "left")
+    last = F.coalesce(F.col(f"_before.{state}"), F.col("_stored"))
+    return seen.filter(last.isNull() | (last != F.col(state))).drop("_before", "_stored")
 
 
 def storage_gate(events: DataFrame, stored: DataFrame, key: str, arrival: str, cap: int) -> DataFrame:

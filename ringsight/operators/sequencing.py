@@ -57,22 +57,35 @@ def gap_advance(df: DataFrame, lane: Lane, step: str, recent: int = 25) -> DataF
     return out.withColumn("advance", F.col("missing") * F.coalesce("recent_step", F.lit(0.0))).drop("_prev", "_n")
 
 
-def late_rows(df: DataFrame, arrival: Lane, sequence: str) -> DataFrame:
-    """Flag rows that arrive after a higher sequence number of their lane."""
-    top = running(df, arrival, _top=Running("max", F.col(sequence), inclusive=False))
-    return top.withColumn("late", F.coalesce(F.col(sequence) <= F.col("_top"), F.lit(False))).drop("_top")
-
-
 def first_seen_only(df: DataFrame, arrival: Lane, slot: str) -> DataFrame:
     """Keep rows whose slot is beyond every slot seen before; re-sent slots are dropped."""
-    return late_rows(df, arrival, slot).filter(~F.col("late")).drop("late")
+    top = running(df, arrival, _top=Running("max", F.col(slot), inclusive=False))
+    return top.filter(F.col("_top").isNull() | (F.col(slot) > F.col("_top"))).drop("_top")
+
+
+def arrival_status(df: DataFrame, arrival: Lane, sequence: str, window: int = REORDER_WINDOW) -> DataFrame:
+    """Add what the reorder window makes of each arrival: ``late`` (its number was released or given up before) and
+    ``restart`` (the lane began anew with it). A number that is merely out of order is held, not late."""
+
+    names = df.columns
+
+    def fold(state, pdf):
+        _, late, restart = sequence_walk(state, pdf[sequence].to_numpy(np.int64), window)
+        return state, pdf[names].assign(late=late, restart=restart)
 
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return lane_fold(df, arrival, fold, sequence_start, f"{schema}, late boolean, restart boolean", warm=8 * window)
 
-def restart_epochs(df: DataFrame, lane: Lane, sequence: str, window: int = REORDER_WINDOW) -> DataFrame:
-    """Epoch number of every row of an in-order lane; a big step back in the sequence starts a new one."""
-    seen = previous(df, lane, "_prev", sequence)
-    back = F.col(sequence) + window < F.col(f"_prev.{sequence}") + 1
-    return running(settle(seen), lane, epoch=Running("sum", F.when(back, 1).otherwise(0).cast("bigint"))).drop("_prev")
+
+def late_rows(df: DataFrame, arrival: Lane, sequence: str, window: int = REORDER_WINDOW) -> DataFrame:
+    """Flag rows whose sequence number is below the next one expected."""
+    return arrival_status(df, arrival, sequence, window).drop("restart")
+
+
+def restart_epochs(df: DataFrame, arrival: Lane, sequence: str, window: int = REORDER_WINDOW) -> DataFrame:
+    """Epoch number of every row; a number more than the window below the expected one starts a new epoch."""
+    seen = settle(arrival_status(df, arrival, sequence, window))
+    return running(seen, arrival, epoch=Running("sum", F.col("restart").cast("bigint"))).drop("late", "restart")
 
 
 def sequence_step(state: dict, seq: int, window: int = REORDER_WINDOW) -> tuple[list[tuple[int, int]], str]:
@@ -106,6 +119,28 @@ def sequence_start() -> dict:
     return {"expected": None, "held": []}
 
 
+def sequence_walk(state: dict, seqs: np.ndarray, window: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """All arrivals of a stretch. Returns released (number, arrival, missing before it, restart), and late and restart of
+    each arrival. Unbroken runs with nothing held pass as a whole; only disorder is stepped through."""
+    n = len(seqs)
+    late, restart = np.zeros(n, bool), np.zeros(n, bool)
+    ends = np.append(np.flatnonzero(np.diff(seqs) != 1) + 1, n)
+    released: list[tuple] = []
+    i = 0
+    while i < n:
+        if not state["held"] and state["expected"] in (None, int(seqs[i])):
+            end = int(ends[np.searchsorted(ends, i, side="right")])
+            released += [(number, at, 0, False) for number, at in zip(seqs[i:end].tolist(), range(i, end), strict=True)]
+            state["expected"] = int(seqs[end - 1]) + 1
+            i = end
+            continue
+        out, note = sequence_step(state, int(seqs[i]), window)
+        late[i], restart[i] = note == "late", note == "restart"
+        released += [(number, i, missing, note == "restart") for number, missing in out]
+        i += 1
+    return released, late, restart
+
+
 def reorder(df: DataFrame, arrival: Lane, sequence: str, window: int = REORDER_WINDOW) -> DataFrame:
     """Release order of a lane that arrives shuffled.
 
@@ -116,15 +151,15 @@ def reorder(df: DataFrame, arrival: Lane, sequence: str, window: int = REORDER_W
     keys = list(arrival.keys)
 
     def fold(state, pdf):
-        out = []
-        for key, at, seq in zip(lane_keys(pdf, keys), pdf[order], pdf[sequence]):
-            released, note = sequence_step(state, int(seq), window)
-            for number, missing in released:
-                out.append((*key, number, int(at), missing, "released", note == "restart"))
-            if note == "late":
-                out.append((*key, int(seq), int(at), 0, "late", False))
-        names = [*keys, sequence, "released_at", "missing_before", "outcome", "restart"]
-        return state, pd.DataFrame(out, columns=names)
+        seqs, at = pdf[sequence].to_numpy(np.int64), pdf[order].to_numpy(np.int64)
+        released, late, _ = sequence_walk(state, seqs, window)
+        rows = [(i, number, int(at[i]), missing, "released", restart) for number, i, missing, restart in released]
+        rows += [(int(i), int(seqs[i]), int(at[i]), 0, "late", False) for i in np.flatnonzero(late)]
+        out = pd.DataFrame(rows, columns=["_i", sequence, "released_at", "missing_before", "outcome", "restart"])
+        out = out.sort_values("_i", kind="stable")
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].to_numpy()[out["_i"].to_numpy(int)])
+        return state, out.drop(columns="_i")
 
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join([f"{k} {types[k]}" for k in keys])

@@ -27,9 +27,11 @@ def qualifying_detections(spark, sf):
 EVENTS = """ev AS (SELECT alert_id AS n, CASE WHEN alert_id % 3 = 0 THEN '' ELSE 'K' || event_key END AS event_key,
     CASE WHEN alert_id % 29 = 0 THEN 'other' ELSE kind END AS kind, camera_id, element_id, loop_no, state,
     CASE WHEN alert_id % 5 = 0 THEN 'F' || alert_id WHEN alert_id % 5 = 1 THEN '' ELSE 'X' END AS wanted, 'F' || alert_id AS frame_id,
-    floor(amount / 1000) AS drop FROM alerts),
+    floor(amount / 1000) AS drop, CASE WHEN alert_id % 7 = 0 THEN detected_us + 5000000 ELSE detected_us END AS captured_us,
+    detected_us + 5000000 AS now_us, model_version, alert_id % 10 / 10.0::DOUBLE AS bx, alert_id % 13 / 20.0::DOUBLE AS bw FROM alerts),
 al AS (SELECT n, CASE WHEN event_key <> '' THEN event_key WHEN camera_id = 'CAM-1' THEN 'DAMAGE:' || element_id || ':' || loop_no
-    ELSE camera_id || ':DAMAGE:' || element_id || ':' || loop_no END AS event_key, kind, camera_id, element_id, loop_no, state, wanted, frame_id, drop
+    ELSE camera_id || ':DAMAGE:' || element_id || ':' || loop_no END AS event_key, kind, camera_id, element_id, loop_no, state, wanted, frame_id, drop,
+    captured_us, now_us, model_version, bx, bw, CAST(substr(camera_id, 5) AS BIGINT) AS cam
   FROM ev WHERE kind <> 'other' AND state IN ('pending', 'confirmed') AND element_id > 0),
 hx AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(event_key)) AS h FROM al)"""
 
@@ -46,13 +48,19 @@ def _events(spark, sf):
         F.when(n % 5 == 0, text).when(n % 5 == 1, "").otherwise("X").alias("evidence_frame_id"),
         text.alias("frame_id"),
         F.create_map(F.lit("drop"), F.floor(F.col("amount") / 1000).cast("double"), F.lit("n"), n.cast("double")).alias("measurements"),
+        F.when(n % 7 == 0, 0).otherwise(F.col("detected_us")).alias("captured_us"),
+        (F.col("detected_us") + 5_000_000).alias("now_us"),
+        "model_version",
+        F.struct((n % 10 / 10).alias("x"), F.lit(0.0).alias("y"), (n % 13 / 20).alias("width"), F.lit(0.5).alias("height")).alias("box"),
     )
 
 
 def _element_states(spark, sf):
-    ids = t.alerts(spark, sf).select("element_id").distinct()
+    """States of most elements of each camera; every sixth element has none."""
+    ids = t.alerts(spark, sf).select("camera_id", "element_id").distinct().filter("element_id % 6 <> 0")
+    cam = F.substring("camera_id", 5, 9).cast("bigint")
     return ids.select(
-        "element_id", (F.col("element_id") * 1.5).alias("lip"), (F.col("element_id") % 2 == 0).alias("near_plate"),
+        "camera_id", "element_id", (F.col("element_id") * 1.5 + cam).alias("lip"), (F.col("element_id") % 2 == 0).alias("near_plate"),
         (F.col("element_id") / 4.0).alias("severity"), (F.col("element_id") % 8).alias("passes_seen"),
     )
 
@@ -63,12 +71,19 @@ def _element_states(spark, sf):
     + """SELECT n, event_key, element_id, loop_no, state AS alert_state, CASE kind WHEN 'damage' THEN 'godet' ELSE 'galet' END AS observation_target,
       upper(kind) AS fault_type, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
       CASE WHEN substr(h, 17, 1) IN ('0', '4', '8', 'c') THEN '8' WHEN substr(h, 17, 1) IN ('1', '5', '9', 'd') THEN '9'
-           WHEN substr(h, 17, 1) IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS alert_id FROM hx""",
+           WHEN substr(h, 17, 1) IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS alert_id,
+      camera_id, upper(kind) AS rule_id, frame_id, model_version, captured_us, now_us AS detected_us,
+      CASE WHEN bw > 0 THEN round(bx, 6) ELSE 0 END AS x, CASE WHEN bw > 0 THEN round(least(bw, 1 - bx), 6) ELSE 1 END AS width,
+      strftime(make_timestamp(captured_us), '%Y/%m/%d') || '/' || camera_id AS folder FROM hx""",
 )
 def event_to_alert(spark, sf):
     out = ops.events_to_alerts(_events(spark, sf), _element_states(spark, sf))
     n = F.col("measurements")["n"].cast("double").cast("bigint")
-    return out.select(n.alias("n"), "event_key", "element_id", "loop_no", "alert_state", "observation_target", "fault_type", "alert_id")
+    return out.select(
+        n.alias("n"), "event_key", "element_id", "loop_no", "alert_state", "observation_target", "fault_type", "alert_id",
+        "camera_id", "rule_id", "frame_id", "model_version", "captured_us", "detected_us", F.round("box.x", 6).alias("x"),
+        F.round("box.width", 6).alias("width"), F.regexp_replace("evidence_ref", "/[^/]*$", "").alias("folder"),
+    )
 
 
 @query(
@@ -76,8 +91,8 @@ def event_to_alert(spark, sf):
     with_views(t.ALERTS, EVENTS)
     + """SELECT n, CAST(drop AS VARCHAR) AS drop_text, state AS state_text, CAST(loop_no AS VARCHAR) AS loop_text,
       CASE WHEN wanted NOT IN ('', frame_id) THEN 'latest_frame' END AS evidence,
-      CASE WHEN kind = 'damage' AND camera_id NOT IN ('CAM-3', 'CAM-4') THEN CAST(element_id * 1.5::DOUBLE AS VARCHAR) END AS lip_text,
-      CASE WHEN kind = 'damage' AND camera_id IN ('CAM-3', 'CAM-4') THEN CAST(element_id % 8 AS VARCHAR) END AS passes_text FROM al""",
+      CASE WHEN kind = 'damage' AND camera_id NOT IN ('CAM-3', 'CAM-4') THEN CAST(CASE WHEN element_id % 6 = 0 THEN 0 ELSE element_id * 1.5::DOUBLE + cam END AS VARCHAR) END AS lip_text,
+      CASE WHEN kind = 'damage' AND camera_id IN ('CAM-3', 'CAM-4') THEN CASE WHEN element_id % 6 = 0 THEN '0' ELSE CAST(element_id % 8 AS VARCHAR) END END AS passes_text FROM al""",
 )
 def measurement_merge(spark, sf):
     m = ops.events_to_alerts(_events(spark, sf), _element_states(spark, sf)).select("measurements")
@@ -162,12 +177,13 @@ STORED = "stored AS (SELECT event_key, max(state) AS state FROM alerts WHERE ale
 @query(
     "change_detection",
     with_views(t.ALERTS, STORED)
-    + """SELECT a.alert_id, a.event_key, a.state FROM alerts a LEFT JOIN stored s USING (event_key)
-    WHERE a.alert_id % 4 <> 0 AND (s.state IS NULL OR s.state <> a.state)""",
+    + """SELECT alert_id, event_key, state FROM (
+      SELECT a.*, coalesce(lag(a.state) OVER (PARTITION BY a.event_key ORDER BY a.alert_id), s.state) AS last
+      FROM alerts a LEFT JOIN stored s USING (event_key) WHERE a.alert_id % 4 <> 0) WHERE last IS NULL OR last <> state""",
 )
 def change_detection(spark, sf):
     a = t.alerts(spark, sf).select("alert_id", "event_key", "state")
-    return ops.changed_events(a.filter("alert_id % 4 <> 0"), a.filter("alert_id % 4 = 0"), ["event_key"], "state").select("alert_id", "event_key", "state")
+    return ops.changed_events(a.filter("alert_id % 4 <> 0"), a.filter("alert_id % 4 = 0"), ["event_key"], "state", "alert_id").select("alert_id", "event_key", "state")
 
 
 @query(

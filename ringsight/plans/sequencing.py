@@ -66,19 +66,39 @@ def gap_advance(spark, sf):
     return out.select("camera_id", "sequence_no", "missing", F.round("advance", 4).alias("advance"))
 
 
-LATE = """arrived AS (
-  SELECT *, max(sequence_no) OVER (PARTITION BY camera_id ORDER BY arrival, event_id
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM frames)"""
+def reorder_machine(arrivals: str) -> str:
+    """SQL of the reorder window, one arrival after the other. ``arrivals``: camera_id, event_id, s and k, the arrival from 1."""
+    return f"""a AS MATERIALIZED ({arrivals}),
+w AS (
+  SELECT camera_id, k, event_id, s, s + 1 AS expected, []::BIGINT[] AS held, false AS late, false AS restart FROM a WHERE k = 1
+  UNION ALL
+  SELECT camera_id, k, event_id, s, CASE WHEN late THEN e0 ELSE e1 + run END, CASE WHEN late THEN h0 ELSE h1[run + 1:] END, late, restart
+  FROM (SELECT *, len(list_filter(h1, lambda x, i: x = e1 + i - 1)) AS run FROM (
+    SELECT *, CASE WHEN s <> e0 AND len(h1) > {ops.REORDER_WINDOW} THEN h1[1] ELSE e0 END AS e1 FROM (
+      SELECT *, s < e0 AS late, list_sort(list_distinct(list_append(h0, s))) AS h1 FROM (
+        SELECT a.*, a.s + {ops.REORDER_WINDOW} < w.expected AS restart,
+          CASE WHEN a.s + {ops.REORDER_WINDOW} < w.expected THEN a.s ELSE w.expected END AS e0,
+          CASE WHEN a.s + {ops.REORDER_WINDOW} < w.expected THEN []::BIGINT[] ELSE w.held END AS h0
+        FROM w JOIN a ON a.camera_id = w.camera_id AND a.k = w.k + 1)))))"""
+
+
+def with_machine(*views: str) -> str:
+    return with_views(*views).replace("WITH", "WITH RECURSIVE", 1)
 
 
 @query(
     "late_drop",
-    with_views(t.FRAMES, LATE)
-    + """SELECT camera_id, event_id, sequence_no, coalesce(sequence_no <= top, false) AS late FROM arrived""",
+    with_machine(
+        t.FRAMES,
+        reorder_machine("""SELECT camera_id, event_id, event_id AS s, row_number() OVER (PARTITION BY camera_id
+          ORDER BY arrival + CASE WHEN event_id % 50 = 0 THEN 600 ELSE 0 END, event_id) AS k FROM frames"""),
+    )
+    + "SELECT camera_id, event_id, late FROM w",
 )
 def late_drop(spark, sf):
-    out = ops.late_rows(t.frames(spark, sf), BY_ARRIVAL, "sequence_no")
-    return out.select("camera_id", "event_id", "sequence_no", "late")
+    delayed = F.col("arrival") + F.when(F.col("event_id") % 50 == 0, 600).otherwise(0)
+    rows = t.frames(spark, sf).select("camera_id", "event_id", delayed.alias("arrival"))
+    return ops.late_rows(rows, BY_ARRIVAL, "event_id").select("camera_id", "event_id", "late")
 
 
 @query(
@@ -99,14 +119,13 @@ def duplicate_slot_guard(spark, sf):
 
 @query(
     "restart_epochs",
-    with_views(
+    with_machine(
         t.FRAMES,
-        "runs AS (SELECT camera_id, event_id, (event_id % 2500) * 7 AS sequence_no FROM frames)",
-        "prev AS (SELECT *, lag(sequence_no) OVER (PARTITION BY camera_id ORDER BY event_id) AS p FROM runs)",
+        reorder_machine("""SELECT camera_id, event_id, (event_id % 2500) * 7 AS s, row_number() OVER (PARTITION BY camera_id
+          ORDER BY event_id) AS k FROM frames"""),
     )
-    + """SELECT camera_id, event_id, sequence_no,
-      CAST(sum(CASE WHEN sequence_no + 64 < p + 1 THEN 1 ELSE 0 END)
-           OVER (PARTITION BY camera_id ORDER BY event_id) AS BIGINT) AS epoch FROM prev""",
+    + """SELECT camera_id, event_id, s AS sequence_no, CAST(sum(CASE WHEN restart THEN 1 ELSE 0 END)
+      OVER (PARTITION BY camera_id ORDER BY k) AS BIGINT) AS epoch FROM w""",
 )
 def restart_epochs(spark, sf):
     runs = t.frames(spark, sf).select(

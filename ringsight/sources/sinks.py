@@ -20,34 +20,41 @@ def append_valid_alerts(df: DataFrame, path: str) -> DataFrame:
 
 
 
+def complete_versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete versions of an upserted table, oldest first."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = folder(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder(path)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder(path))]
+    return sorted(n for n in names if fs.exists(folder(f"{path}/{n}/_SUCCESS")))
+
+
 def current_version(spark: SparkSession, path: str) -> str | None:
     """Folder of the newest complete version of an upserted table."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
-    done = sorted(
-        s.getPath().getName() for s in fs.listStatus(fs_path)
-        if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    )
+    done = complete_versions(spark, path)
     return f"{path}/{done[-1]}" if done else None
 
 
 def upsert_parquet(
-    incoming: DataFrame, path: str, keys: list[str], order: list[str], version: int,
+    incoming: DataFrame, path: str, keys: list[str], order: list[str], source: str, batch: int,
     kept: tuple[str, ...] = KEPT_ON_UPDATE,
 ) -> str:
-    """Upsert into a versioned parquet table and return the new version's folder.
+    """Upsert a batch into a versioned parquet table and return the folder of the newest version.
 
-    A version is visible only once its ``_SUCCESS`` marker is there, so a lost executor or a restarted
-    batch leaves the table readable, and writing the same version again gives the same result.
+    Versions count up by themselves, whoever writes. A version's name also holds its source (a query, by its checkpoint)
+    and that source's batch number, so a batch that is run again after a failure finds itself and changes nothing, while a
+    new checkpoint is a new source and is never skipped. A version is visible only once its ``_SUCCESS`` marker is
+    there. One writer at a time.
     """
     spark = incoming.sparkSession
-    target = f"{path}/v{version:012d}"
-    before = current_version(spark, path)
-    if before is not None and before >= target:
-        return before
-    stored = spark.read.parquet(before) if before else spark.createDataFrame([], incoming.schema)
+    done = complete_versions(spark, path)
+    mine = [int(n.rpartition("-")[2]) for n in done if n.partition("-")[2].rpartition("-")[0] == source]
+    if mine and max(mine) >= batch:
+        return f"{path}/{done[-1]}"
+    number = int(done[-1].partition("-")[0][1:]) + 1 if done else 0
+    stored = spark.read.parquet(f"{path}/{done[-1]}") if done else spark.createDataFrame([], incoming.schema)
+    target = f"{path}/v{number:012d}-{source}-{batch}"
     keyed_upsert(stored, incoming, keys, order, kept).write.mode("overwrite").parquet(target)
     return target
 

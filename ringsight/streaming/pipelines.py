@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ringsight.functions.numeric import half_even
 from ringsight.operators.alerts import changed_events
+from ringsight.operators.fold import lane_fold
+from ringsight.operators.ordered import Lane
 from ringsight.session import checkpoint_root
 from ringsight.sources.sinks import current_version, upsert_parquet
 
@@ -40,27 +45,46 @@ def correlate_streams(requests: DataFrame, responses: DataFrame, deadline: str)
     return left.join(right, in_time, "leftOuter").withColumn("answered", F.col("response_id").isNotNull())
 
 
-def emit_once_stream(events: DataFrame, keys: list[str], at: str, horizon: str) -> DataFrame:
-    """First event of every key within the horizon."""
-    return events.withWatermark(at, horizon).dropDuplicatesWithinWatermark(keys)
+def emit_once_stream(events: DataFrame, keys: list[str]) -> DataFrame:
+    """First event of every key, once for ever: seen keys stay in the state store, without a horizon."""
+    return events.dropDuplicates(keys)
 
 
-def final_columns(frames: DataFrame, keys: list[str], position: str, value: str, bad: str, half: int, margin: int) -> DataFrame:
-    """Columns of the unrolled chain, each once, when the newest write is ``margin`` past it.
+def final_columns(frames: DataFrame, lane: Lane, position: str, value: str, bad: str, half: int, margin: int) -> DataFrame:
+    """Columns of the unrolled chain, each once, when the lane's newest write is more than ``margin`` past it.
 
-    The position stands in for event time (one column = one second), so Spark's watermark decides what is
-    final and drops late writes. The watermark is common to all lanes of a query: run one per lane, or
-    lanes that move alike.
+    Every frame writes the columns within ``half`` of its position, weighted by distance. A write to a column that was
+    final before its frame is dropped. What is final is decided per lane, from that lane's frames alone, so a lane that
+    lags behind loses nothing; the result does not depend on how frames are grouped into batches. On a stream
+    the state of a lane is its open columns; in a batch the last ``margin`` columns stay open too.
     """
-    writes = frames.withColumn("_a", F.explode(F.sequence(F.lit(-half), F.lit(half))))
-    writes = writes.withColumn("col", half_even(F.col(position) - F.col("_a")).cast("bigint"))
-    timed = writes.withColumn("_at", F.timestamp_seconds("col")).withWatermark("_at", f"{margin + 2 * half} seconds")
-    weight = 1 - F.abs("_a") / (half + 1.0)
-    sums = timed.groupBy(*keys, F.window("_at", "1 second")).agg(
-        F.sum(weight).alias("weight"), F.sum(weight * F.col(value)).alias("_x"), F.max(bad).alias("bad")
-    )
-    col = F.unix_timestamp("window.start").alias("col")
-    return sums.select(*keys, col, "weight", (F.col("_x") / F.col("weight")).alias("value"), "bad")
+    keys = list(lane.keys)
+    reach = np.arange(-half, half + 1)
+    share = 1 - np.abs(reach) / (half + 1.0)
+
+    def fold(state, pdf):
+        at = pdf[position].to_numpy(float)
+        here = np.rint(at[:, None] - reach[None, :]).astype(np.int64)  # half to even
+        newest = np.maximum.accumulate(np.concatenate([[state["newest"]], here.max(axis=1, initial=state["newest"])])).astype(np.int64)
+        live = here >= newest[:-1, None] - margin
+        x = pdf[value].to_numpy(float)[:, None] * share[None, :]
+        writes = pd.DataFrame({
+            "col": here[live], "weight": np.broadcast_to(share, here.shape)[live], "x": x[live],
+            "bad": np.broadcast_to(pdf[bad].to_numpy(bool)[:, None], here.shape)[live],
+        })
+        before = pd.DataFrame(state["open"], columns=["col", "weight", "x", "bad"]).astype(writes.dtypes.to_dict())
+        sums = pd.concat([before, writes]).groupby("col", as_index=False).agg({"weight": "sum", "x": "sum", "bad": "max"})
+        done = sums["col"] < newest[-1] - margin
+        state = {"newest": int(newest[-1]), "open": [[int(c), float(w), float(v), bool(b)] for c, w, v, b in sums[~done].itertuples(index=False)]}
+        out = sums[done].assign(value=lambda d: d["x"] / d["weight"])[["col", "weight", "value", "bad"]]
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0] if len(pdf) else None)
+        return state, out
+
+    types = {f.name: f.dataType.simpleString() for f in frames.schema}
+    head = "".join(f"{k} {types[k]}, " for k in keys)
+    start = lambda: {"newest": -(2**62), "open": []}
+    return lane_fold(frames, lane, fold, start, f"{head}col bigint, weight double, value double, bad boolean", warm=0)
 
 
 def hidden_run_sessions(columns: DataFrame, keys: list[str], col: str, hidden: str, join_gap: int) -> DataFrame:
@@ -74,18 +98,16 @@ def hidden_run_sessions(columns: DataFrame, keys: list[str], col: str, hidden: s
 
 
 def alert_upserts(events: DataFrame, path: str, checkpoint: str, order: list[str]) -> StreamingQuery:
-    """Upsert changed events into the alert table, one version per micro-batch.
-
-    The version number is the batch number, so a batch that is run again after a failure changes nothing.
-    """
+    """Upsert changed events into the alert table, one version per micro-batch; a batch that is run again after a failure
+    changes nothing. The checkpoint names the source, so a new one goes on with the table where it is."""
+    source = hashlib.sha1(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = current_version(spark, path)
-        if before is not None:
-            stored = spark.read.parquet(before)
-            batch = changed_events(batch, stored, ["event_key"], "state")
-        upsert_parquet(batch, path, ["event_key"], order, number)
+        stored = spark.read.parquet(before) if before else spark.createDataFrame([], batch.schema)
+        changed = changed_events(batch, stored, ["event_key"], "state", order[0])
+        upsert_parquet(changed, path, ["event_key"], order, source, number)
 
     query = (
         events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -95,6 +95,73 @@ def test_alert_upserts_keep_first_values(spark, tmp_path):
     assert (got["b"]["alert_id"], got["b"]["n"]) == ("id2", 2)
 
 
+def test_upserts_of_a_second_checkpoint_and_a_repeated_batch(spark, tmp_path):
+    from ringsight.sources.sinks import complete_versions, current_version, upsert_parquet
+
+    schema = "event_key string, alert_id string, created_at bigint, seen_at bigint, state string, n bigint"
+    row = lambda key, state, n: spark.createDataFrame([(key, f"id{n}", n, None, state, n)], schema)
+    table = str(tmp_path / "table")
+    for i, key in enumerate("ab"):
+        src = str(tmp_path / f"in{i}")
+        row(key, "pending", i).coalesce(1).write.parquet(src)
+        pipelines.alert_upserts(stream(spark, row("x", "x", 0), src), table, str(tmp_path / f"cp{i}"), ["n"])
+    keys = lambda: {r["event_key"]: r["state"] for r in spark.read.parquet(current_version(spark, table)).collect()}
+    assert keys() == {"a": "pending", "b": "pending"}
+    before = complete_versions(spark, table)
+    upsert_parquet(row("c", "pending", 5), table, ["event_key"], ["n"], "job", 0)
+    upsert_parquet(row("c", "confirmed", 6), table, ["event_key"], ["n"], "job", 0)  # the same batch again
+    assert keys() == {"a": "pending", "b": "pending", "c": "pending"} and len(complete_versions(spark, table)) == len(before) + 1
+    upsert_parquet(row("c", "confirmed", 6), table, ["event_key"], ["n"], "job", 1)
+    assert keys()["c"] == "confirmed"
+
+
+def test_only_changes_pass(spark):
+    from ringsight.operators.alerts import changed_events
+
+    events = spark.createDataFrame([("a", "pending", 1), ("a", "pending", 2), ("a", "confirmed", 3), ("b", "pending", 4), ("b", "confirmed", 700)],
+                                   "event_key string, state string, n bigint")
+    stored = spark.createDataFrame([("b", "pending")], "event_key string, state string")
+    got = changed_events(events, stored, ["event_key"], "state", "n")
+    assert [r["n"] for r in got.orderBy("n").collect()] == [1, 3, 700]
+
+
+def test_slow_lanes_keep_their_columns(spark, tmp_path):
+    """Two lanes, one 100,000 columns ahead; stream equals batch, and batch equals a plain loop."""
+    lane = Lane(("camera_id",), "frame")
+    data = [(c, i, (100_000.0 + 20 * i if c == "fast" else 1.0 * i), float(i % 7), i % 50 == 0) for c in ("fast", "slow") for i in range(500)]
+    df = spark.createDataFrame(data, "camera_id string, frame bigint, pos double, x double, bad boolean")
+    args = (lane, "pos", "x", "bad", 3, 12)
+    want = {}
+    for c in ("fast", "slow"):
+        newest, sums = -(10**9), {}
+        for _, i, pos, x, bad in (r for r in data if r[0] == c):
+            cols = [round(pos - a) for a in range(-3, 4)]
+            for a, col in zip(range(-3, 4), cols, strict=True):
+                if col >= newest - 12:
+                    w = 1 - abs(a) / 4
+                    old = sums.get(col, (0.0, 0.0, False))
+                    sums[col] = (old[0] + w, old[1] + w * x, old[2] or bad)
+            newest = max(newest, *cols)
+        want |= {(c, k): (w, v / w, b) for k, (w, v, b) in sums.items() if k < newest - 12}
+    batch = {(r["camera_id"], r["col"]): (r["weight"], r["value"], r["bad"]) for r in pipelines.final_columns(df, *args).collect()}
+    assert batch.keys() == want.keys() and all(batch[k] == pytest.approx(want[k]) for k in want)
+    src = str(tmp_path / "in")
+    land(df, src, parts=5, key="frame")
+    out = pipelines.final_columns(stream(spark, df, src), *args)
+    pipelines.run_available(out, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = {(r["camera_id"], r["col"]): (r["weight"], r["value"], r["bad"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert max(col for c, col in got if c == "slow") > 480
+
+
+def test_keys_are_emitted_once_for_ever(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i % 40}", i) for i in range(400)], "key string, arrival bigint")
+    src = str(tmp_path / "in")
+    land(df, src, parts=4)
+    pipelines.run_available(pipelines.emit_once_stream(stream(spark, df, src), ["key"]), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+
+
 def test_unanswered_requests_come_out(spark, tmp_path):
     req = spark.range(40).select(
         F.col("id").alias("frame_id"), F.lit("CAM-1").alias("camera_id"), F.timestamp_seconds(F.col("id") * 10).alias("sent_at"))
