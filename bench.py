@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from ringsight.plans import REGISTRY
-from ringsight.session import build_session
+from ringsight.session import build_session, clear_stages
 
 HEADLINE = [
     "gap_declaration",
@@ -28,6 +28,7 @@ HEADLINE = [
     "column_scatter",
     "neighbour_dissimilarity",
     "best_offset",
+    "loop_lock",
     "reference_match",
     "interpolated_position",
     "population_score",
@@ -39,6 +40,7 @@ HEADLINE = [
     "hidden_runs",
     "gap_rule",
     "density_rule",
+    "stable_flags",
     "keyed_upsert",
     "alert_page",
     "window_report",
@@ -82,6 +84,7 @@ def main() -> None:
             }
         )
     )
+    clear_stages(spark)
     spark.stop()
 
 

@@ -122,7 +122,7 @@ def locked_loop_starts(spark, sf):
 
 
 STARTS = """starts AS (SELECT event_id AS start, row_number() OVER (ORDER BY event_id) - 1 AS loop FROM events
-  WHERE user_id = 3)"""
+  WHERE value > 240)"""
 
 
 @query(
@@ -135,7 +135,7 @@ def loop_assignment(spark, sf):
     from ringsight.operators.ordered import with_ordinal
 
     e = t.table(spark, sf, "events")
-    starts = with_ordinal(e.filter("user_id = 3").select(F.col("event_id").alias("start")), Lane((), "start"), "loop")
+    starts = with_ordinal(e.filter("value > 240").select(F.col("event_id").alias("start")), Lane((), "start"), "loop")
     slots = e.select(F.col("event_id").alias("slot"))
     return ops.assign_loops(slots, starts, [], "slot", "start", 120).select("slot", "loop", "element_id")
 
@@ -232,19 +232,22 @@ RING = 500
 
 
 def _reference(spark, sf) -> np.ndarray:
-    """Calibration ring: a fixed number of columns, whatever the table holds."""
-    head = t.signal(spark, sf).filter(F.col("col") < RING).select("col", "x").toPandas()
-    return head.sort_values("col")["x"].to_numpy(float)
+    """Calibration ring: RING values, whatever the table holds."""
+    return np.array([r["base"] for r in _ring_columns(spark, sf).orderBy("at").collect()], float)
+
+
+def _ring_columns(spark, sf):
+    """The highest value of every ring column over all loops."""
+    return t.signal(spark, sf).groupBy((F.col("col") % RING).alias("at")).agg(F.max("x").alias("base"))
 
 
 def _chain(spark, sf):
-    """A chain that repeats the first 500 columns, disturbed by the table's own values."""
+    """A chain that repeats the calibration ring, disturbed by the table's own values."""
     s = t.signal(spark, sf).select("col", "x", (F.col("col") % RING).alias("at"))
-    ring = s.filter(F.col("col") < RING).select(F.col("col").alias("at"), F.col("x").alias("base"))  # RING rows
-    return s.join(ring, "at").select("col", (F.col("base") + F.col("x") * 0.25).alias("x"))
+    return s.join(_ring_columns(spark, sf), "at").select("col", (F.col("base") + F.col("x") * 0.25).alias("x"))
 
 
-CHAIN = """ref AS MATERIALIZED (SELECT col, x FROM signal WHERE col < 500),
+CHAIN = """ref AS MATERIALIZED (SELECT col % 500 AS col, max(x) AS x FROM signal GROUP BY 1),
 chain AS MATERIALIZED (SELECT s.col, r.x + s.x * 0.25::DOUBLE AS x FROM signal s JOIN ref r ON r.col = s.col % 500),
 numbers AS MATERIALIZED (SELECT p FROM range(0, 1000000) AS g(p) WHERE p * 125 + 200 <= (SELECT max(col) + 1 FROM signal)),
 pieces AS MATERIALIZED (SELECT p AS piece, o, c.x FROM numbers, range(0, 200) AS oo(o), chain c WHERE c.col = p * 125 + o),

@@ -226,14 +226,14 @@ def plate_numbers(spark, sf):
     "plates_fully_seen",
     with_views(
         t.SIGNAL,
-        "plates AS (SELECT col AS lo, col + 15 AS hi FROM signal WHERE col % 20 = 0)",
+        "plates AS (SELECT min(col) AS lo, min(col) + 15 AS hi FROM signal GROUP BY col // 20)",
         "gone AS (SELECT col FROM signal WHERE user_id < 5)",
     )
     + "SELECT lo, hi FROM plates WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.col >= lo AND gone.col < hi)",
 )
 def plates_fully_seen(spark, sf):
     s = t.signal(spark, sf)
-    plates = s.filter("col % 20 = 0").select(F.col("col").alias("lo"), (F.col("col") + 15).alias("hi"))
+    plates = s.groupBy(F.floor(F.col("col") / 20)).agg(F.min("col").alias("lo")).select("lo", (F.col("lo") + 15).alias("hi"))
     return ops.fully_seen(plates, s.filter("user_id < 5").select("col"), [], "lo", "hi", "col", 64)
 
 
@@ -274,8 +274,8 @@ def capped_keep_list(spark, sf):
 
 
 NEAR = """tg AS (SELECT camera_id, event_id * 3 AS pos FROM frames WHERE event_type = 'error'),
-close AS (SELECT camera_id, event_id * 3 + 1 AS pos, event_id AS frame FROM frames WHERE event_type = 'view' AND user_id % 30 = 0),
-far AS (SELECT camera_id, event_id * 3 + 1 AS pos, event_id AS frame FROM frames WHERE event_id % 50 = 0)"""
+close AS (SELECT camera_id, event_id * 3 + 1 AS pos, event_id AS frame FROM frames WHERE event_type = 'view' AND scalar > 120),
+far AS (SELECT camera_id, event_id * 3 + 1 AS pos, event_id AS frame FROM frames)"""
 
 
 def _nearest_sql(name, side, reach):
@@ -296,9 +296,9 @@ def _nearest_sql(name, side, reach):
 def nearest_frame(spark, sf):
     f = t.frames(spark, sf)
     targets = f.filter("event_type = 'error'").select("camera_id", (F.col("event_id") * 3).alias("pos"))
-    close = f.filter("event_type = 'view' AND user_id % 30 = 0")
+    close = f.filter("event_type = 'view' AND scalar > 120")
     close = close.select("camera_id", (F.col("event_id") * 3 + 1).alias("pos"), F.col("event_id").alias("frame_no"))
-    far = f.filter("event_id % 50 = 0").select("camera_id", (F.col("event_id") * 3 + 1).alias("pos"), F.col("event_id").alias("frame_no"))
+    far = f.select("camera_id", (F.col("event_id") * 3 + 1).alias("pos"), F.col("event_id").alias("frame_no"))
     out = ops.nearest_frame(targets, close, far, ["camera_id"], "pos", "frame_no")
     return out.select("camera_id", "pos", "frame")
 

@@ -81,8 +81,8 @@ def nonparallel_list(spark, sf):
 
 @query(
     "loop_completion",
-    """WITH starts AS (SELECT event_id AS start, row_number() OVER (ORDER BY event_id) - 1 AS loop FROM events WHERE user_id = 3),
-    slots AS (SELECT e.event_id, s.loop FROM events e ASOF JOIN starts s ON e.event_id >= s.start WHERE e.event_id % 301 <> 7),
+    """WITH starts AS (SELECT event_id AS start, row_number() OVER (ORDER BY event_id) - 1 AS loop FROM events WHERE value > 240),
+    slots AS (SELECT e.event_id, s.loop FROM events e ASOF JOIN starts s ON e.event_id >= s.start WHERE e.value >= 0.2),
     n AS (SELECT loop, count(*) AS n FROM slots GROUP BY loop)
     SELECT s.loop, s.start, coalesce(n.n, 0) AS rows_seen,
       coalesce(lead(s.start) OVER (ORDER BY s.loop) IS NOT NULL AND n.n >= lead(s.start) OVER (ORDER BY s.loop) - s.start, false) AS complete
@@ -93,8 +93,8 @@ def loop_completion(spark, sf):
     from ringsight.operators.ordered import Lane, with_ordinal
 
     e = t.table(spark, sf, "events")
-    starts = with_ordinal(e.filter("user_id = 3").select(F.col("event_id").alias("start")), Lane((), "start"), "loop")
-    slots = e.filter("event_id % 301 <> 7").select(F.col("event_id").alias("slot"))
+    starts = with_ordinal(e.filter("value > 240").select(F.col("event_id").alias("start")), Lane((), "start"), "loop")
+    slots = e.filter("value >= 0.2").select(F.col("event_id").alias("slot"))
     rows = assign_loops(slots, starts, [], "slot", "start", 1000).filter(F.col("loop").isNotNull())
     return ops.completed_loops(rows, starts)
 

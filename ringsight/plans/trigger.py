@@ -62,7 +62,7 @@ def minimum_separation(spark, sf):
 
 
 SLOTS = """cap AS (
-  SELECT event_id, value AS level FROM events WHERE event_type = 'error' AND user_id % 5 = 0),
+  SELECT event_id, value AS level FROM events WHERE event_type = 'error' AND value > 80),
 gaps AS (SELECT *, (event_id - lag(event_id) OVER (ORDER BY event_id)) / 25.0::DOUBLE AS gap FROM cap),
 hid AS (SELECT event_id, level, CASE WHEN gap > 1.2 THEN greatest(CAST(round_even(gap / 0.8::DOUBLE, 0) AS BIGINT) - 1, 0)
                          ELSE 0 END AS hidden FROM gaps),
@@ -73,7 +73,7 @@ slots AS (SELECT row_number() OVER (ORDER BY pos, k) - 1 AS slot, CASE WHEN k =
 
 def _slots(spark, sf):
     e = t.table(spark, sf, "events")
-    cap = e.filter("event_type = 'error' AND user_id % 5 = 0").select("event_id", F.col("value").alias("level"))
+    cap = e.filter("event_type = 'error' AND value > 80").select("event_id", F.col("value").alias("level"))
     return ops.fill_virtual_slots(cap, BY_EVENT, "event_id")
 
 

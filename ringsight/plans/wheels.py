@@ -75,24 +75,25 @@ def coverage_cells(spark, sf):
     return ops.coverage_cells(s, t.anchors(spark, sf), [], "readable", 3.0, 1000.0, 0.02)
 
 
-WHEELS = """wheels AS (SELECT CAST(floor(event_id / 1000) AS BIGINT) AS loop,
-    CAST(((event_id % 1000) + (user_id % 21) - 10 + 1000) % 1000 AS DOUBLE) AS pos FROM events WHERE event_id % 50 = 25 AND user_id % 10 <> 0),
-coverage AS (SELECT DISTINCT CAST(floor(event_id / 1000) AS BIGINT) AS loop, CAST(floor((event_id % 1000) / 8) AS BIGINT) AS cell
-  FROM events WHERE event_id % 4 = 0 AND user_id % 3 <> 0)"""
+WHEELS = """wheels AS (SELECT k // 20 AS loop, CAST((k * 50 % 1000 + 25 + u % 21 - 10 + 1000) % 1000 AS DOUBLE) AS pos FROM (
+    SELECT event_id // 50 AS k, CAST(sum(user_id) AS BIGINT) AS u FROM events GROUP BY 1) WHERE u % 10 <> 0),
+coverage AS (SELECT event_id // 1000 AS loop, event_id % 1000 // 8 AS cell FROM events GROUP BY 1, 2 HAVING sum(user_id) % 7 <> 0)"""
 RING, MATCH_AT = 1000.0, 20.0
 
 
 def _wheels(spark, sf):
-    e = t.table(spark, sf, "events")
-    return e.filter("event_id % 50 = 25 AND user_id % 10 <> 0").select(
-        F.floor(F.col("event_id") / 1000).alias("loop"),
-        (((F.col("event_id") % 1000) + (F.col("user_id") % 21) - 10 + 1000) % 1000).cast("double").alias("pos"),
+    """An object of every 50 events, placed by their users; one in ten is absent."""
+    e = t.table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 50).alias("k")).agg(F.sum("user_id").alias("u"))
+    return e.filter("u % 10 <> 0").select(
+        F.floor(F.col("k") / 20).alias("loop"),
+        ((F.col("k") * 50 % 1000 + 25 + F.col("u") % 21 - 10 + 1000) % 1000).cast("double").alias("pos"),
     )
 
 
 def _coverage(spark, sf):
-    e = t.table(spark, sf, "events").filter("event_id % 4 = 0 AND user_id % 3 <> 0")
-    return e.select(F.floor(F.col("event_id") / 1000).alias("loop"), F.floor((F.col("event_id") % 1000) / 8).alias("cell")).distinct()
+    at = F.col("event_id")
+    e = t.table(spark, sf, "events").groupBy(F.floor(at / 1000).alias("loop"), F.floor(at % 1000 / 8).alias("cell"))
+    return e.agg(F.sum("user_id").alias("u")).filter("u % 7 <> 0").drop("u")
 
 
 @query(
@@ -180,13 +181,13 @@ def missing_objects(spark, sf):
 
 
 RINGS = """ring AS (SELECT p_partkey AS id, p_partkey % 53 <> 0 AS covered,
-    coalesce((SELECT count(*) FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l_quantity = 50), 0) AS objects FROM part p),
+    coalesce((SELECT count(*) // 30 FROM lineitem l WHERE l.l_partkey = p.p_partkey), 0) AS objects FROM part p),
 size AS (SELECT count(*) AS n FROM part)"""
 
 
 def _ring(spark, sf):
-    found = t.table(spark, sf, "lineitem").filter("l_quantity = 50").groupBy(F.col("l_partkey").alias("id"))
-    found = found.agg(F.count(F.lit(1)).alias("objects"))
+    found = t.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id"))
+    found = found.agg(F.floor(F.count(F.lit(1)) / 30).alias("objects"))
     ids = t.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 53 != 0).alias("covered"))
     return ids.join(found, "id", "left").withColumn("objects", F.coalesce("objects", F.lit(0)))
 
@@ -231,11 +232,9 @@ def density_rule(spark, sf):
 
 def _flags(spark, sf):
     e = t.table(spark, sf, "events")
-    kinds = F.element_at(
-        F.create_map(*[F.lit(v) for p in (("error", "wheel_gap"), ("view", "wheel_missing")) for v in p]), F.col("event_type")
-    )
+    kinds = F.when(F.col("event_type") == "error", "wheel_gap").when(F.col("event_type") == "view", "wheel_missing").otherwise("wheel_density")
     first = F.floor((F.col("event_id") % 500) / 10)
-    rows = e.filter("event_type IN ('error', 'view')").select(
+    rows = e.select(
         kinds.alias("kind"), F.floor(F.col("event_id") / 500).alias("loop"),
         F.when(F.col("value") > 120, F.struct(first.alias("first"), ((first + F.col("user_id") % 2) % 50).alias("last"))).alias("span"),
     )

@@ -65,6 +65,17 @@ def settle(df: DataFrame) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    path = f"{checkpoint_root(df.sparkSession)}/stages/{uuid.uuid4().hex}"
+    path = f"{_stage_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _stage_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/stages/{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Remove all stages that this application has written. Call it when no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(_stage_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -191,9 +191,12 @@ master AS (SELECT p, (p * p * p + p * 7) % 401 < 100 AS bit FROM range(0, 400) A
 
 
 def anchors(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").filter(F.col("event_id") % 25 == 0)
-    return e.select(F.col("event_id").alias("col"), (F.col("event_id") * F.lit(1.01) + (F.col("value") - 50) / 1000).alias("pos"))
+    """One anchor of every 25 events, shifted by their highest value."""
+    col = (F.floor(F.col("event_id") / 25) * 25).cast("bigint")
+    e = table(spark, sf, "events").groupBy(col.alias("col")).agg(F.max("value").alias("top"))
+    return e.select("col", (F.col("col") * F.lit(1.01) + (F.col("top") - 190) / 1000).alias("pos"))
 
 
 ANCHORS = """anchors AS (
-  SELECT event_id AS col, event_id * 1.01::DOUBLE + (value - 50) / 1000 AS pos FROM events WHERE event_id % 25 = 0)"""
+  SELECT col, col * 1.01::DOUBLE + (top - 190) / 1000 AS pos FROM (
+    SELECT event_id // 25 * 25 AS col, max(value) AS top FROM events GROUP BY 1))"""

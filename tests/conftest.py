@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from ringsight.session import BLOCK_ROWS_KEY, build_session  # noqa: E402
+from ringsight.session import BLOCK_ROWS_KEY, build_session, clear_stages  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -26,4 +26,5 @@ def spark():
     session.conf.set("spark.sql.streaming.stateStore.providerClass",
                      "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     yield session
+    clear_stages(session)
     session.stop()
