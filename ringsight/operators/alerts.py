@@ -294,16 +294,24 @@ def effective_hours(cameras: DataFrame, settings: DataFrame, base: DataFrame) ->
 
 
 def overlapping_hours(hours: DataFrame, key: str) -> DataFrame:
-    """Pairs of keys that are on in the same minute; 1,440 minutes bound the spread of every key."""
+    """Pairs of keys that are on at the same time of day.
+
+    Hours are one stretch of minutes, or two where they wrap at midnight. Two stretches overlap if and only if one starts inside the
+    other, so starts meet the hours of the day (24 at most) that a stretch touches.
+    """
     a, b = minute_of_day(F.col("start")), minute_of_day(F.col("stop"))
-    minutes = F.sequence(F.lit(0), F.lit(1439))
-    on = F.when(F.col("mode") == "always", minutes).when(
+    piece = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    day, none = F.lit(1440), F.lit(0)
+    pieces = F.when(F.col("mode") == "always", F.array(piece(none, day))).when(
         F.col("mode") == "hours",
-        F.filter(minutes, lambda m: F.when(a < b, (m >= a) & (m < b)).when(a > b, (m >= a) | (m < b)).otherwise(F.lit(False))),
+        F.when(a < b, F.array(piece(a, b))).when(a > b, F.array(piece(a, day), piece(none, b))),
     )
-    spread = hours.select(key, F.explode(on).alias("_m"))
-    left, right = spread.select(F.col(key).alias("first_key"), "_m"), spread.select(F.col(key).alias("second_key"), "_m")
-    return left.join(right, "_m").filter("first_key < second_key").select("first_key", "second_key").distinct()
+    on = hours.select(F.col(key).alias("key"), F.inline(pieces)).filter("lo < hi")
+    cells = F.explode(F.sequence(F.floor(F.col("lo") / 60), F.floor((F.col("hi") - 1) / 60)))
+    spans = on.select(F.col("key").alias("k1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), cells.alias("cell"))
+    starts = on.select(F.col("key").alias("k2"), F.col("lo").alias("lo2"), F.floor(F.col("lo") / 60).alias("cell"))
+    met = spans.join(starts, "cell").filter("k1 <> k2 and lo2 >= lo1 and lo2 < hi1")
+    return met.select(F.least("k1", "k2").alias("first_key"), F.greatest("k1", "k2").alias("second_key")).distinct()
 
 
 # -- viewer -----------------------------------------------------------------------------------------------

@@ -61,7 +61,19 @@ def _frame_positions(spark, sf, scale=1.5):
     )
 
 
-@query("coverage_widening")
+@query(
+    "coverage_widening",
+    with_views(
+        t.FRAMES,
+        """a AS MATERIALIZED (SELECT camera_id, event_id, event_id * 4.5::DOUBLE + scalar / 100 AS s,
+          row_number() OVER (PARTITION BY camera_id ORDER BY event_id) AS k FROM frames)""",
+        """w AS (SELECT camera_id, event_id, s, k, 6 AS half FROM a WHERE k = 1
+          UNION ALL
+          SELECT a.camera_id, a.event_id, a.s, a.k, CAST(least(greatest(ceil(abs(a.s - w.s) - w.half) + 1, 6), 60) AS INTEGER)
+          FROM w JOIN a ON a.camera_id = w.camera_id AND a.k = w.k + 1)""",
+    ).replace("WITH", "WITH RECURSIVE", 1)
+    + "SELECT camera_id, event_id, half FROM w",
+)
 def coverage_widening(spark, sf):
     rows = _frame_positions(spark, sf, 4.5)
     out = ops.coverage_widths(rows, Lane(("camera_id",), "event_id"), "s")
