@@ -195,7 +195,7 @@ def damage_type(spark, sf):
 
 @query("joint_chain")
 def joint_chain(spark, sf):
-    """Strip segments of 2,000 columns with a joint every 19 columns or so, buried in the signal."""
+    """A strip with a joint every 19 columns or so, buried in the signal; in blocks of 2,000 columns."""
     s = t.signal(spark, sf)
     peak = F.when(F.col("col") % 19 == 3, 60.0).otherwise(0.0)
     strip = s.select("col", (F.col("x") / 4 + peak).alias("strength"))
