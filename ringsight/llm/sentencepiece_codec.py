@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from ringsight.llm.words import Lexicon, chunks, raw, spans
 
 MARK = "▁"
+BATCH = 2048
+THREADS = "2"  # of an encoding batch
 #: Fixed values of the message format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -163,18 +165,18 @@ class Codec:
         import sentencepiece
 
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        self.model = parse(data)
-        self.whole = build(self.model)
+        os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
+        model = parse(data)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.by_word = words_stand_alone(self.model)
-        self.part = build(self.model, prefix=False) if self.by_word else None
+        self.by_word = words_stand_alone(model)
+        self.tokenizer = build(model, prefix=not self.by_word)
         self.lexicon = Lexicon(self._learn) if self.by_word else None
 
     def _learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, count, good = [np.zeros(0, np.uint32)], [], []
-        for at in range(0, len(parts), 8192):
-            texts = [p.decode("utf-8", "replace") for p in parts[at : at + 8192]]
-            made = self.part.encode_batch_fast(texts, add_special_tokens=False)
+        for at in range(0, len(parts), BATCH):
+            texts = [p.decode("utf-8", "replace") for p in parts[at : at + BATCH]]
+            made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             # the original puts the first marker in front by itself
             want = self.original.encode([t[1:] for t in texts], num_threads=1)
             rows = [m.ids for m in made]
@@ -191,7 +193,7 @@ class Codec:
         """Ids of each text, and whether the original implementation gives the same."""
         if not self.by_word:
             plain = [t.decode("utf-8", "replace") for t in texts]
-            made = self.whole.encode_batch_fast(plain, add_special_tokens=False)
+            made = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
             for m, want in zip(made, self.original.encode(plain, num_threads=1), strict=True):
                 yield np.array(m.ids, np.uint32), m.ids == want
             return
@@ -238,7 +240,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
         codec = _codec(path)
         for batch in batches:
             buf, off = raw(batch.column(1))
-            for a, b in chunks(off, 1 << 21):
+            for a, b in chunks(off, 1 << 19):
                 data = buf[off[a] : off[b]].tobytes()
                 edge = (off[a : b + 1] - off[a]).tolist()
                 rows = list(codec.encode([data[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]))
@@ -260,7 +262,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 rows = [r or [] for r in batch.column(1).slice(a, 256).to_pylist()]
-                texts = codec.whole.decode_batch(rows, skip_special_tokens=False)
+                texts = codec.tokenizer.decode_batch(rows, skip_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array(texts, pa.string())], names=["key", "text"])
 
     return df.select(F.col(key).cast("long").alias("key"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, "key long, text string").withColumnRenamed("key", key)
@@ -273,12 +275,16 @@ def digest(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
         codec = _codec(path)
         for batch in batches:
             buf, off = raw(batch.column(1))
-            for a, b in chunks(off, 1 << 21):
+            for a, b in chunks(off, 1 << 19):
                 data = buf[off[a] : off[b]].tobytes()
                 edge = (off[a : b + 1] - off[a]).tolist()
                 texts = [data[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
                 rows = list(codec.encode(texts))
-                back = codec.whole.decode_batch([r[0].tolist() for r in rows], skip_special_tokens=False)
+                back = [
+                    text
+                    for i in range(0, len(rows), 32)
+                    for text in codec.tokenizer.decode_batch([r[0].tolist() for r in rows[i : i + 32]], skip_special_tokens=False)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
