@@ -10,29 +10,48 @@ Rows without doc_id can't be compared with others and pass the dedup stages unch
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringsight.llm import crf_quality, packing, quality_rules, simhash_dedup, substring_dedup
-from ringsight.llm.stages import settle_compact
+from ringsight.llm.stages import collecting, remove, settle_compact
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+_past: list[str] = []  # what the stage before has written for itself
 
+
+def stage(plan: Stage) -> Stage:
+    """A stage gets the written result of the one before, so what that one wrote on its way can go."""
+
+    @wraps(plan)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _past)
+        with collecting(_past):
+            return plan(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return crf_quality.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def regular_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs)
 
 
+@stage
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_dedup.keep_one(docs)
 
 
+@stage
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that lose nothing stay as they are, the others are their kept words, joined by a space."""
     found = substring_dedup.remove_repeats(docs.withColumn("_before", F.col("text")))
@@ -41,6 +60,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.select(*[changed.get(c, F.col(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -59,6 +79,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = settle_compact(stage(spark, docs, sf_dir))
+    for _, plan in STAGES[:-1]:
+        docs = settle_compact(plan(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

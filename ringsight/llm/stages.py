@@ -2,20 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from ringsight.session import settle
+from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["settle", "settle_compact"]
+from ringsight.session import checkpoint_root
+
+_collecting: list[list[str]] = []
+
+
+def settle(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Write once to the shared folder and go on from there."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/stages/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if _collecting:
+        _collecting[-1].append(path)
+    writer = df.write if codec is None else df.write.option("compression", codec)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def settle_compact(df: DataFrame) -> DataFrame:
     """As settle, with the compression that suits whole texts."""
-    spark = df.sparkSession
-    key = "spark.sql.parquet.compression.codec"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "zstd")
+    return settle(df, "zstd")
+
+
+@contextmanager
+def collecting(paths: list[str]) -> Iterator[None]:
+    """Note the folders of all stages written inside."""
+    _collecting.append(paths)
     try:
-        return settle(df)
+        yield
     finally:
-        spark.conf.set(key, before)
+        _collecting.pop()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stages that no result needs any more, and forget them."""
+    jvm = spark.sparkContext._jvm
+    while paths:
+        folder = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
