@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringsight.llm import crf_quality, packing, quality_rules, simhash_dedup, substring_dedup
+from ringsight.llm import crf_quality, near_copies, packing, quality_rules, substring_dedup
 from ringsight.llm.stages import collecting, remove, settle_compact
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -48,7 +48,7 @@ def regular_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @stage
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 @stage

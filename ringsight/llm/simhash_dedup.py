@@ -12,8 +12,8 @@ chunks is a cell of its own, so no task holds a hot key. All candidates in a cel
 a forest that connects what is linked there, not the links, so output is linear in the fingerprints.
 
 A wider search (``near``) also links fingerprints that differ in more bits, if a second fingerprint over longer
-shingles is close as well: ``keep_one`` so finds copies with a similarity of about 0.8 or more on five-word shingles, which differ in up
-to nine bits of the first fingerprint, where three bits find a third of them.
+shingles is close as well. Bits alone neither find all copies nor only copies: ``near_copies`` takes these links as candidates and
+decides by the shingles themselves.
 
 Null and empty texts have fingerprint zero and link like any other. Rows without doc_id get a fingerprint and no
 component, and link nothing. Rows that share a doc_id belong to each of their components, which so become one. Columns
@@ -60,13 +60,13 @@ COPIES = Near()
 # ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(text: bytes, *shingles: int) -> list[int]:
-    """SimHash of one text for each shingle length; shingles count as often as they occur."""
+def shingle_hashes(text: bytes, *shingles: int) -> list[np.ndarray]:
+    """Hashes of all shingles of one text for each shingle length, in order; a text with fewer words is one shingle."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return [0] * len(shingles)
+        return [np.zeros(0, U64)] * len(shingles)
     flat = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
@@ -75,15 +75,27 @@ def fingerprint(text: bytes, *shingles: int) -> list[int]:
     for shingle in shingles:
         n = max(len(words) - shingle + 1, 1)
         last = end[shingle - 1 :] if len(words) >= shingle else end[-1:]
-        counts = np.zeros(BITS, np.int64)
+        hashed = np.empty(n, U64)
         for at in range(0, n, 32768):
-            part = [xxh64_intdigest(flat[a:b], SEED) for a, b in zip(start[at : min(at + 32768, n)].tolist(), last[at : at + 32768].tolist(), strict=True)]
-            bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts += bits.sum(0, dtype=np.int64)
-        made.append(int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0]))
+            hashed[at : at + 32768] = [xxh64_intdigest(flat[a:b], SEED) for a, b in zip(start[at : min(at + 32768, n)].tolist(), last[at : at + 32768].tolist(), strict=True)]
+        made.append(hashed)
     return made
 
 
+def simhash(hashed: np.ndarray) -> int:
+    """SimHash of shingle hashes, each counted as often as it occurs; zero for none."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashed), 32768):
+        part = hashed[at : at + 32768].astype("<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashed), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, *shingles: int) -> list[int]:
+    """SimHash of one text for each shingle length; shingles count as often as they occur."""
+    return [simhash(hashed) for hashed in shingle_hashes(text, *shingles)]
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, second: int | None = None) -> DataFrame:
     """(doc_id, fp, fp2): fingerprints as signed longs; fp2 is zero without a second shingle length."""
     lengths = (shingle,) if second is None else (shingle, second)
@@ -290,17 +302,21 @@ def links(nodes: DataFrame, plan: list[tuple[int, int]], radius: int = RADIUS, n
     )
 
 
+def searched(nodes: DataFrame, radius: int = RADIUS, near: Near | None = None) -> DataFrame:
+    """``links`` of written nodes by a plan fitted on a bounded sample of them."""
+    rows = nodes.count()
+    every = max(rows // SAMPLE_ROWS, 1)
+    picked = nodes.filter(F.pmod(F.xxhash64("fp", "fp2"), F.lit(every)) == 0).orderBy(F.xxhash64("fp", "fp2"))
+    sample = np.array([r["fp"] for r in picked.select("fp").limit(SAMPLE_ROWS).collect()], np.int64).view(U64)
+    return links(nodes, search_plan(sample, rows, near.radius if near else radius), radius, near)
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, near: Near | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
     prints = settle(fingerprints(docs, shingle, near.shingle if near else None))
     owned = prints.filter("doc_id is not null")
     nodes = settle(owned.groupBy("fp", "fp2").agg(F.min("doc_id").alias("root")))
-    rows = nodes.count()
-    every = max(rows // SAMPLE_ROWS, 1)
-    picked = nodes.filter(F.pmod(F.xxhash64("fp", "fp2"), F.lit(every)) == 0).orderBy(F.xxhash64("fp", "fp2"))
-    sample = np.array([r["fp"] for r in picked.select("fp").limit(SAMPLE_ROWS).collect()], np.int64).view(U64)
-    wide = near.radius if near else radius
-    edges = links(nodes, search_plan(sample, rows, wide), radius, near)
+    edges = searched(nodes, radius, near)
     # A doc_id ties the fingerprints of its rows together, and fingerprints whose roots are one id.
     by_row = owned.join(nodes, ["fp", "fp2"]).select("doc_id", "root").filter("doc_id <> root")
     shared = by_row.groupBy("doc_id").agg(F.min("root").alias("u"), F.max("root").alias("v")).filter("u <> v").select("doc_id")
@@ -320,7 +336,11 @@ def hex_print(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, near: Near | None = COPIES) -> DataFrame:
     """The documents without near copies: of each component the smallest doc_id stays, once. Rows without doc_id stay."""
-    found = near_duplicates(docs, radius, shingle, near)
+    return first_of_components(docs, near_duplicates(docs, radius, shingle, near))
+
+
+def first_of_components(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each component the row with the smallest doc_id, and the rows without doc_id."""
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.filter("doc_id is not null")
     staying = named.join(kept, named["doc_id"].cast("long") == kept["_kept"], "left_semi")
