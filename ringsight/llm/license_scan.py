@@ -155,7 +155,7 @@ def base_places(prepared: DataFrame) -> DataFrame:
         n = F.coalesce(F.regexp_count("_text", F.lit(f" {phrase}(?= )")), F.lit(0)).cast("long")
         counts.append(n)
         firsts.append(F.when(at > 0, _spaces(F.left("_text", at - 1)).cast("long")))
-        lasts.append(F.when(at > 0, _spaces(F.regexp_extract("_text", f"^(.*) {phrase} ", 1)).cast("long")))
+        lasts.append(F.when(at > 0, _spaces(F.regexp_extract("_text", f"(?s)^(.*) {phrase} ", 1)).cast("long")))
         labels.append(F.when(n > 0, F.lit(label)))
     known = F.array_sort(F.array_compact(F.array(*labels)))
     return prepared.select(

@@ -164,6 +164,16 @@ def test_licenses_match_plain_python(spark):
     same(got.collect(), [dict(zip(columns, (d, *brute_scan(t)), strict=True)) for d, t in rows], columns)
 
 
+def test_last_license_after_line_separators(spark):
+    """U+0085, U+2028 and U+2029 are letters of words here; a dot does not match them in Java."""
+    marks = ["\u0085", "\u2028", "\u2029"]
+    rows = [(i, f"lead{m} MIT License and more{m} words, MIT License again {m} end") for i, m in enumerate(marks)] + [(3, f"{''.join(marks)} license mit")]
+    got = license_scan.scan(docs(spark, rows)).select("doc_id", "n_base", "first_word", "last_word").collect()
+    want = [brute_scan(t)[1:4] for _, t in rows]
+    assert want[:3] == [(2, 1, 6)] * 3
+    assert {r[0]: tuple(r)[1:] for r in got} == dict(enumerate(want))
+
+
 def test_license_rules_are_many_and_ordered(spark):
     assert len(license_scan.rules()) >= 300
     assert [r[0] for r in license_scan.rules()] == list(range(len(license_scan.rules())))
