@@ -69,7 +69,10 @@ def spans(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> t
 
 
 def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span: a sum of one random term per (byte, place), finalised with the length."""
+    """64-bit hash of each span: a sum of one random term per (byte, place), finalised with the length.
+
+    Each block of 64 bytes after the first is mixed with its number before it is added, so that blocks in another order give another hash.
+    """
     out = np.empty(len(start), U64)
     for at in range(0, len(start), 32768):  # blocks that stay in the processor's cache
         a = start[at : at + 32768]
@@ -79,7 +82,11 @@ def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         letters = buf[place + np.repeat(a, length)].astype(np.int64)
         terms = _TERMS[(letters << 6) | (place & 63)]
         if length.max() > _POSITIONS:
-            terms = terms * ((place >> 6).astype(U64) * U64(2) + U64(1))
+            block = np.flatnonzero((place & 63) == 0)
+            number = place[block] >> 6
+            terms = np.add.reduceat(terms, block)
+            terms = np.where(number > 0, mix(terms + mix(number.astype(U64))), terms)
+            head = np.flatnonzero(number == 0)
         out[at : at + 32768] = mix(np.add.reduceat(terms, head) + length.astype(U64))
     return out
 
