@@ -1,9 +1,9 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Base measures come from one pass over each text; equal 3-word windows inside a text are found by sorting its window
-hashes (64 bits, compared only within one text). Beyond two fixed base rules nothing has a fixed cutoff: every ratio is sketched per
+hashes (64 bits, compared only within one text). Beyond two fixed base rules every ratio is sketched per
 language and source, and a document fails where a ratio lies beyond the fence
-``q75 + REACH * max(q75 - q25, least spread)`` of its group.
+``q75 + REACH * max(q75 - q25, least spread)`` of its group. The least spread is a constant; where a group varies less, it decides (README has figures).
 
 The sketch is a histogram with buckets that keep the top ``PRECISION`` bits of a value, so a quantile is right to one part in
 32. Sketches merge by adding counts: sources add up to their language, languages to the whole. A group of fewer than ``MIN_GROUP``
