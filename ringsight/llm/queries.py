@@ -13,13 +13,16 @@ from ringsight.llm import (
     ann_tree,
     chat_format,
     crf_quality,
+    filter_audit,
     license_scan,
     packing,
     quality_rules,
     sentencepiece_codec,
     simhash_dedup,
     substring_dedup,
+    toxicity,
     url_filter,
+    vector_codes,
 )
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +107,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query(filter_audit.oracle())
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(vector_codes.oracle())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
