@@ -40,7 +40,7 @@ ORDINARY_SAMPLES = 400_000
 #: (bytes, segment length, part length) of each pair
 DICTIONARIES = ((1024, 16, 6), (1024, 24, 6), (1024, 32, 8), (512, 20, 6))
 LEVEL = 19
-LEAST_ODDS = 1.0  # log odds below this are no evidence
+LEAST_ODDS = 1.5  # log odds below this are no evidence
 LONGEST = 400
 MEMORY = 400_000  # words whose lengths a worker remembers
 THRESHOLD = 0.3
@@ -244,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS) -> Ju
         return None
     cells = rest.mapInArrow(measured, "label int, length int, gap int").groupBy("length", "gap")
     rows = cells.agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).collect()  # at most LONGEST * 2 LONGEST lengths
-    every = {(r["length"], r["gap"]): math.log((r["a"] + 0.5) / (n1 + 1) / ((r["b"] + 1) / (n0 + 2))) for r in rows if r["a"] >= SUPPORT}
+    every = {(r["length"], r["gap"]): math.log((r["a"] + 0.5) / (n1 + 1) / ((r["b"] + 1) / (n0 + 2))) for r in rows if r["a"] >= max(SUPPORT, n1 / 100)}
     odds = {lengths: v for lengths, v in every.items() if v >= LEAST_ODDS}
     judge = Judge(pairs, odds, 1.0, 0.0)
     seen = rest.mapInArrow(_evidence(judge), "label int, evidence double").collect()  # at most 2 * per_label rows
