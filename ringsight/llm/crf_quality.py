@@ -6,8 +6,9 @@ shares of byte classes and of words that repeat their forerunner, so they hold f
 source and id are never among them.
 
 The field is fitted on a bounded sample of labelled documents (``TRAIN_DOCS`` of each label, those with the smallest hash of
-their id among rows outside the held-out quarter, and none longer than ``TRAIN_BYTES``) by gradient ascent on the conditional likelihood, where
-all lines of a document carry its label. Scoring reads whole texts, line counts and lengths are unbounded: prefix products of the 2 x 2
+their id among rows outside the held-out quarter, of any length) by gradient ascent on the conditional likelihood, where
+all lines of a document carry its label. Features are taken from whole texts where these lie; a document of more than ``TRAIN_RUNS`` runs of
+``RUN_LINES`` lines is learnt from that many runs spread evenly over all of it, so what the driver holds is bounded by the rows. Scoring reads whole texts, line counts and lengths are unbounded: prefix products of the 2 x 2
 step matrices give all forward and backward messages in a logarithmic number of array operations.
 
 Null and empty texts are one empty line and get a score as well. Rows without doc_id are not held out and are never
@@ -25,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ringsight.llm.columns import free_name
 from ringsight.llm.words import chunks, hashes, raw, spans
 
 TRAIN_DOCS = 1500
-TRAIN_BYTES = 20_000
+TRAIN_RUNS, RUN_LINES = 8, 64
 ROUNDS = 250
 THRESHOLD = 0.7
 
@@ -201,16 +203,30 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS) -> Fi
     picked = [usable.filter(F.col("_label") == k).orderBy(F.xxhash64("_doc"), "_doc").limit(per_label) for k in (0, 1)]
     sample = F.broadcast(picked[0].unionAll(picked[1]))  # at most 2 * per_label rows
     own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-    joined = own.filter(F.coalesce(F.octet_length("_text"), F.lit(0)) <= TRAIN_BYTES).join(sample, F.col("_id") == F.col("_doc"))
-    rows = joined.select("_doc", "_text", "_label").orderBy("_doc", "_text").limit(2 * per_label).toArrow()
+    joined = own.join(sample, F.col("_id") == F.col("_doc"))
+    made = joined.select("_doc", "_label", "_text").mapInArrow(_lessons, "doc long, label int, x array<double>")
+    rows = made.orderBy("doc", F.xxhash64("x"), "x").limit(2 * per_label).toArrow()
     if rows.num_rows == 0:
         return None
-    label = rows.column("_label").to_numpy().astype(float)
+    label = rows.column("label").to_numpy().astype(float)
     if label.min() == label.max():
         return None
-    buf, off = raw(rows.column("_text").combine_chunks())
-    x, _, lines = line_features(buf, off)
-    return fit(x, lines, label)
+    lists = rows.column("x").combine_chunks()
+    x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+    return fit(x, lists.value_lengths().to_numpy() // N_FEATURES, label)
+
+
+def _lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of the lines of each text, or of runs of lines spread over a longer one."""
+    for batch in batches:
+        buf, off = raw(batch.column(2))
+        for i in range(batch.num_rows):
+            x, _, _ = line_features(buf[off[i] : off[i + 1]], off[i : i + 2] - off[i])
+            if len(x) > TRAIN_RUNS * RUN_LINES:
+                starts = np.linspace(0, len(x) - RUN_LINES, TRAIN_RUNS).astype(int)
+                x = x[(starts[:, None] + np.arange(RUN_LINES)).reshape(-1)]
+            row = [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([x.reshape(-1)], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(row, names=["doc", "label", "x"])
 
 
 def _scores(column: pa.Array, field: Field | None) -> np.ndarray:
@@ -228,9 +244,10 @@ def _scores(column: pa.Array, field: Field | None) -> np.ndarray:
 
 def score(docs: DataFrame, field: Field | None, name: str = "score", keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """The documents with their score; ``keep`` chooses rows by score."""
-    passed = [c for c in docs.columns if c != name]
+    passed = [c for c in docs.columns if c != name]  # the score replaces a column of its name
     at = passed.index("text")
-    schema = StructType([*docs.select(*passed).schema.fields, StructField(name, DoubleType())])
+    own = docs.select(*[F.col(f"`{c}`") for c in passed])
+    schema = StructType([*own.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +255,7 @@ def score(docs: DataFrame, field: Field | None, name: str = "score", keep: Calla
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], names=[*batch.schema.names, name])
             yield out.filter(pa.array(keep(made))) if keep else out
 
-    return docs.select(*passed).mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -255,4 +272,5 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     field = train(docs, labels)
     if field is None:
         return docs
-    return score(docs, field, "_score", lambda s: s >= THRESHOLD).drop("_score")
+    name = free_name(docs, "_score")
+    return score(docs, field, name, lambda s: s >= THRESHOLD).drop(name)

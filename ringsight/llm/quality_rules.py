@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringsight.llm.columns import once
+from ringsight.llm.columns import carry, once
 from ringsight.llm.stages import settle, settle_compact
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -160,8 +160,9 @@ def assess(docs: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns."""
-    judged = judge(settle_compact(measure(docs)))
-    return judged.filter("_kept").select(*[c for c in docs.columns if c != "_measures"])
+    named = carry(docs, F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
+    judged = judge(settle_compact(measure(named).drop("text")))
+    return judged.filter("_kept").select("row.*")
 
 
 def oracle(table: str = "documents") -> str:

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringsight.llm.columns import free_name
 from ringsight.llm.components import components
 from ringsight.llm.stages import settle
 from ringsight.llm.words import U64, raw, texts_of
@@ -341,9 +342,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, near
 
 def first_of_components(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Of each component the row with the smallest doc_id, and the rows without doc_id."""
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept, nth = free_name(docs, "_kept"), free_name(docs, "_nth")
+    firsts = found.filter("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
     named = docs.filter("doc_id is not null")
-    staying = named.join(kept, named["doc_id"].cast("long") == kept["_kept"], "left_semi")
+    staying = named.join(firsts, named["doc_id"].cast("long") == firsts[kept], "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = staying.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    once = staying.withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1).drop(nth)
     return once.unionByName(docs.filter("doc_id is null"))

@@ -14,19 +14,20 @@ chunk are settled before the shuffle. Window digests have 48 bits beside the 64
 
 Null texts and texts of fewer than WINDOW words lose nothing. Rows without doc_id neither lose words nor make
 others lose any. Rows that share a doc_id never count as smaller than each other; each loses what smaller ids
-repeat. Equal windows inside one document stay. Columns that clash with the added names are replaced by them; other
-columns pass through. An empty table gives an empty result.
+repeat. Equal windows inside one document stay. ``remove_repeats`` adds columns and replaces those of their names; ``without_repeats`` changes
+text alone and passes every other column, whatever its name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ringsight.llm.columns import free_name
 from ringsight.llm.words import U64, chunks, hashes, mix, raw, rolled, spans
 
 WINDOW = 13
@@ -182,27 +183,46 @@ def repeats(found: DataFrame) -> DataFrame:
     return found.repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(judge, _MARKS)
 
 
+ADDED = ("kept_text", "n_words", "n_removed")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """The documents with ``kept_text`` (kept words joined by a space), ``n_words`` and ``n_removed``."""
+    return _cut_out(docs, window, anchor, ADDED, False)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """The documents with their kept words, joined by a space, as text; a text that loses nothing stays as it is. ``n_chars`` follows the text."""
+    added = [free_name(docs, n) for n in ADDED]
+    found = _cut_out(docs, window, anchor, added, True)
+    lost = F.col(added[2]) > 0
+    changed = {"text": F.col(added[0]), "n_chars": F.when(lost, F.length(added[0])).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[(changed[c] if c in changed else F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
+def _cut_out(docs: DataFrame, window: int, anchor: int, added: Sequence[str], whole: bool) -> DataFrame:
+    """The documents without text, with the ``added`` columns. ``whole``: a text without a repeat is given as it is, null too."""
     import zstandard
 
     if not 1 <= anchor < window or window - anchor + 1 > 31:
         raise ValueError("an anchor is shorter than the window, by 30 words at most")
+    packed_as, marked_as, named_as = (free_name(docs, n) for n in ("_packed", "_marks", "_doc"))
     marks = (
         repeats(seeds(docs, window, anchor))
         .groupBy("doc")
-        .agg(F.collect_list(F.struct("at", "mask")).alias("_marks"))
-        .withColumnRenamed("doc", "_doc")
+        .agg(F.collect_list(F.struct("at", "mask")).alias(marked_as))
+        .withColumnRenamed("doc", named_as)
     )
-    passed = [c for c in docs.columns if c not in ("text", "kept_text", "n_words", "n_removed", "_packed", "_doc", "_marks")]
-    rest = docs.select(*passed).schema
+    passed = [c for c in docs.columns if c != "text" and c not in added]
+    kept = [F.col(f"`{c}`") for c in passed]
+    rest = docs.select(*kept).schema
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             made = pa.array([None if t is None else tool.compress(t) for t in texts.cast(pa.large_binary()).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], "_packed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], packed_as])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
@@ -217,7 +237,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 else:
                     kept = words
-                texts.append(b" ".join(kept))
+                if whole and len(kept) == len(words):
+                    texts.append(None if cell is None else tool.decompress(cell))
+                else:
+                    texts.append(b" ".join(kept))
                 words_n.append(len(words))
                 removed_n.append(len(words) - len(kept))
             yield pa.RecordBatch.from_arrays(
@@ -227,17 +250,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                     pa.array(words_n, pa.int64()),
                     pa.array(removed_n, pa.int64()),
                 ],
-                names=[*batch.schema.names[:-2], "kept_text", "n_words", "n_removed"],
+                names=[*batch.schema.names[:-2], *added],
             )
 
     from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-    inner = StructType([*rest.fields, StructField("_packed", BinaryType())])
-    outer = StructType(
-        [*rest.fields, StructField("kept_text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())]
-    )
-    packed = docs.select(*passed, F.col("text").cast("string").alias("text")).mapInArrow(squeeze, inner)
-    joined = packed.join(marks, packed["doc_id"].cast("long") == marks["_doc"], "left").select(*passed, "_packed", "_marks")
+    inner = StructType([*rest.fields, StructField(packed_as, BinaryType())])
+    outer = StructType([*rest.fields, *[StructField(n, t) for n, t in zip(added, (StringType(), LongType(), LongType()), strict=True)]])
+    packed = docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(squeeze, inner)
+    joined = packed.join(marks, packed["doc_id"].cast("long") == marks[named_as], "left").select(*kept, packed_as, marked_as)
     return joined.mapInArrow(cut, outer)
 
 
