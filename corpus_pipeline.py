@@ -4,63 +4,40 @@ Each stage takes what the one before kept and its decision takes effect: documen
 that the quality rules reject, then near copies (of each group one stays), then passages that an earlier document has; what
 is left is packed. Stages are written between, so each is computed once.
 
-Rows without doc_id can't be compared with others and pass the dedup stages unchanged. An empty table gives empty stages.
+Columns beyond those of documents pass every stage but the last, whatever their names. Rows without doc_id can't be compared with
+others and pass the dedup stages unchanged. An empty table gives empty stages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ringsight.llm import crf_quality, near_copies, packing, quality_rules, substring_dedup
 from ringsight.llm.stages import collecting, remove, settle_compact
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-_past: list[str] = []  # what the stage before has written for itself
 
-
-def stage(plan: Stage) -> Stage:
-    """A stage gets the written result of the one before, so what that one wrote on its way can go."""
-
-    @wraps(plan)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, _past)
-        with collecting(_past):
-            return plan(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@stage
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return crf_quality.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-@stage
 def regular_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs)
 
 
-@stage
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_copies.keep_one(docs)
 
 
-@stage
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that lose nothing stay as they are, the others are their kept words, joined by a space."""
-    found = substring_dedup.remove_repeats(docs.withColumn("_before", F.col("text")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_before"))
-    changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars"))}
-    return found.select(*[changed.get(c, F.col(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    return substring_dedup.without_repeats(docs)
 
 
-@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -78,7 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Packed pieces of the documents. Once a stage is written, what it read and what it wrote on its way go; the folders that the
+    result reads stay, so results of several runs can be read in any order."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, plan in STAGES[:-1]:
-        docs = settle_compact(plan(spark, docs, sf_dir))
+        written: list[str] = []
+        with collecting(written):
+            docs = settle_compact(plan(spark, docs, sf_dir))
+        remove(spark, read + written[:-1])
+        read = written[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
