@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ringsight.operators import wheels as ops
 from ringsight.operators.ordered import Lane
 from ringsight.plans.registry import query, with_views
+from ringsight.session import settle
 from ringsight.sources import tables as t
 
 COLUMNS = Lane((), "col")
@@ -160,24 +161,138 @@ def reference_objects(spark, sf):
     return ops.reference_objects(_wheels(spark, sf), _coverage(spark, sf), RING, MATCH_AT)
 
 
-@query(
-    "missing_objects",
-    with_views(
-        WHEELS,
-        "lp AS (SELECT loop FROM wheels UNION SELECT loop FROM coverage)",
-        "rk AS (SELECT loop, row_number() OVER (ORDER BY loop DESC) AS r, count(*) OVER () AS n FROM lp)",
-        "ew AS (SELECT w.* FROM wheels w JOIN rk USING (loop) WHERE r > 2 AND n >= 4)",
-        "ec AS (SELECT w.* FROM coverage w JOIN rk USING (loop) WHERE r > 2 AND n >= 4)",
-        "lw AS (SELECT w.* FROM wheels w JOIN rk USING (loop) WHERE r <= 2 AND n >= 4)",
-        "lc AS (SELECT w.* FROM coverage w JOIN rk USING (loop) WHERE r <= 2 AND n >= 4)",
-        _reference("refs", "ew", "ec"),
-    )
-    + f"""SELECT x FROM refs WHERE could > 0 AND hits >= least(2, could) AND hits >= 0.5 * could
-      AND (SELECT count(DISTINCT loop) FROM lc WHERE cell = floor(x / 8)) = 2
-      AND NOT EXISTS (SELECT 1 FROM lw WHERE abs({_circ('lw.pos - x')}) <= 20)""",
-)
+TWO_RINGS = """w2 AS (SELECT camera_id, k // 20 AS loop, k // 20 // 12 AS lock_no,
+    CAST((k * 50 % 1000 + 25 + u % 21 - 10 + k // 20 % 4 * 12 + 1000) % 1000 AS DOUBLE) AS pos FROM (
+    SELECT event_id // 50 AS k, 'CAM-' || (event_id % 2 + 4) AS camera_id, CAST(sum(user_id) AS BIGINT) AS u FROM events GROUP BY 1, 2) WHERE u % 4 <> 0),
+c2 AS (SELECT 'CAM-' || (event_id % 2 + 4) AS camera_id, event_id // 1000 AS loop, event_id // 1000 // 12 AS lock_no, event_id % 1000 // 8 AS cell
+  FROM events GROUP BY ALL HAVING sum(user_id) % 7 <> 0),
+np AS (SELECT *, row_number() OVER (PARTITION BY camera_id, lock_no ORDER BY loop) AS i, lead(loop) OVER (PARTITION BY camera_id, lock_no ORDER BY loop) AS nx
+  FROM (SELECT camera_id, lock_no, loop FROM w2 UNION SELECT camera_id, lock_no, loop FROM c2)),
+seen AS (SELECT p.camera_id, p.lock_no, p.loop, e.loop AS evaluation, CAST(e.i - p.i AS INTEGER) AS rank FROM np p JOIN np e USING (camera_id, lock_no)
+  WHERE p.nx IS NOT NULL AND e.nx IS NOT NULL AND e.i >= 3 AND e.i - p.i BETWEEN 0 AND 7),
+ew AS (SELECT s.camera_id, s.evaluation, s.rank, s.loop, w.pos FROM seen s JOIN w2 w ON w.camera_id = s.camera_id AND w.loop = s.loop),
+ec AS (SELECT s.camera_id, s.evaluation, s.rank, s.loop, w.cell FROM seen s JOIN c2 w ON w.camera_id = s.camera_id AND w.loop = s.loop)"""
+REGISTERED = f"""bl AS (SELECT camera_id, evaluation, arg_max(loop, (n, -loop)) AS base FROM (
+    SELECT camera_id, evaluation, loop, count(*) AS n FROM ec GROUP BY ALL) GROUP BY ALL),
+mk AS (SELECT ew.*, base FROM ew JOIN bl USING (camera_id, evaluation)),
+trio AS (SELECT x.camera_id, x.evaluation, x.loop, x.pos AS x, b.pos AS b, {_circ('o.pos - b.pos')} AS d FROM mk x
+  JOIN mk b ON b.camera_id = x.camera_id AND b.evaluation = x.evaluation AND b.loop = b.base AND abs({_circ('b.pos - x.pos')}) <= 150
+  JOIN mk o ON o.camera_id = x.camera_id AND o.evaluation = x.evaluation AND o.loop = x.loop AND abs({_circ('o.pos - x.pos')}) <= 190
+  WHERE x.loop <> x.base),
+votes AS (SELECT camera_id, evaluation, loop, x, s * 4 AS s, count(DISTINCT b) AS v FROM trio, range(-10, 11) AS g(s) WHERE abs(d - s * 4) <= 10 GROUP BY 1, 2, 3, 4, 5),
+best AS (SELECT camera_id, evaluation, loop, x, arg_max(s, (v, -abs(s), -s)) AS shift FROM votes GROUP BY ALL),
+reg AS (SELECT m.camera_id, m.evaluation, m.rank, m.loop, coalesce(b.shift, 0) AS shift,
+    m.pos - coalesce(b.shift, 0) - 1000 * floor((m.pos - coalesce(b.shift, 0)) / 1000) AS pos
+  FROM mk m LEFT JOIN best b ON b.camera_id = m.camera_id AND b.evaluation = m.evaluation AND b.loop = m.loop AND b.x = m.pos)"""
+
+
+def _keyed_reference(tag, where):
+    return f"""{tag}a AS (SELECT *, pos - lag(pos) OVER (PARTITION BY camera_id, evaluation ORDER BY pos, loop) AS gap FROM reg WHERE {where}),
+{tag}b AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY camera_id, evaluation ORDER BY pos, loop) AS c FROM {tag}a),
+{tag}e AS (SELECT camera_id, evaluation, max(c) AS lastc, min(pos) AS lo, max(pos) AS hi FROM {tag}b GROUP BY ALL),
+{tag}c AS (SELECT camera_id, evaluation, CASE WHEN lastc > 1 AND lo + 1000 - hi <= 20 AND c = lastc THEN 1 ELSE c END AS k, median(pos) AS x
+  FROM {tag}b JOIN {tag}e USING (camera_id, evaluation) GROUP BY 1, 2, 3),
+{tag}v AS (SELECT r.camera_id, r.evaluation, r.k, count(DISTINCT v.loop) AS could FROM {tag}c r JOIN ec v
+  ON v.camera_id = r.camera_id AND v.evaluation = r.evaluation AND v.cell = floor(r.x / 8) WHERE {where} GROUP BY ALL),
+{tag}h AS (SELECT r.camera_id, r.evaluation, r.k, count(DISTINCT w.loop) AS hits FROM {tag}c r JOIN reg w
+  ON w.camera_id = r.camera_id AND w.evaluation = r.evaluation AND abs({_circ('w.pos - r.x')}) <= 20 WHERE {where} GROUP BY ALL),
+{tag} AS (SELECT camera_id, evaluation, x, could, hits FROM {tag}c JOIN {tag}v USING (camera_id, evaluation, k) JOIN {tag}h USING (camera_id, evaluation, k)
+  WHERE hits >= least(2, could) AND hits >= 0.5 * could)"""
+
+
+MISSING = _keyed_reference("erf", "rank >= 2") + f""",
+lost AS (SELECT camera_id, evaluation, x FROM erf r WHERE (SELECT max(rank) FROM ec WHERE ec.camera_id = r.camera_id AND ec.evaluation = r.evaluation) >= 3
+  AND (SELECT count(DISTINCT rank) FROM ec WHERE ec.camera_id = r.camera_id AND ec.evaluation = r.evaluation AND rank < 2 AND cell = floor(r.x / 8)) = 2
+  AND NOT EXISTS (SELECT 1 FROM reg w WHERE w.camera_id = r.camera_id AND w.evaluation = r.evaluation AND rank < 2 AND abs({_circ('w.pos - r.x')}) <= 20))"""
+CAMERA = ["camera_id"]
+KEYED = ["camera_id", "evaluation"]
+SHAPE = ops.Ring(RING, 3.0, 10.0, 100, 150.0, 40, 4, 10.0)
+
+
+def _two_rings(spark, sf):
+    """Objects and readable cells of two cameras; a quarter of the objects is absent in a pass, and passes are shifted."""
+    e = t.table(spark, sf, "events").withColumn("camera_id", F.concat(F.lit("CAM-"), F.col("event_id") % 2 + 4))
+    made = e.groupBy("camera_id", F.floor(F.col("event_id") / 50).alias("k")).agg(F.sum("user_id").alias("u")).filter("u % 4 <> 0")
+    loop = F.floor(F.col("k") / 20)
+    at = (F.col("k") * 50 % 1000 + 25 + F.col("u") % 21 - 10 + loop % 4 * 12 + 1000) % 1000
+    wheels = made.select("camera_id", loop.alias("loop"), at.cast("double").alias("pos"))
+    seen = e.groupBy("camera_id", F.floor(F.col("event_id") / 1000).alias("loop"), F.floor(F.col("event_id") % 1000 / 8).alias("cell"))
+    coverage = seen.agg(F.sum("user_id").alias("u")).filter("u % 7 <> 0").drop("u")
+    passes = wheels.select("camera_id", "loop").union(coverage.select("camera_id", "loop")).withColumn("lock_no", F.floor(F.col("loop") / 12))
+    return wheels, coverage, ops.sliding_evaluations(passes, CAMERA, "lock_no")
+
+
+def _registered_two(spark, sf):
+    wheels, coverage, seen = _two_rings(spark, sf)
+    pick = seen.select(*KEYED, "rank", "loop")
+    ours, readable = (settle(df.join(pick, ["camera_id", "loop"])) for df in (wheels, coverage))
+    moved = ops.register_passes(ours.drop("rank"), readable, RING, 150.0, 40, 4, 10.0, KEYED)
+    return moved.join(pick, [*KEYED, "loop"]), readable
+
+
+@query("sliding_evaluations", with_views(TWO_RINGS) + "SELECT * FROM seen")
+def sliding_evaluations(spark, sf):
+    return _two_rings(spark, sf)[2]
+
+
+@query("evaluation_registration", with_views(TWO_RINGS, REGISTERED) + "SELECT camera_id, evaluation, rank, loop, shift, pos FROM reg")
+def evaluation_registration(spark, sf):
+    moved, _ = _registered_two(spark, sf)
+    return moved.select("camera_id", "evaluation", "rank", "loop", "shift", F.col("registered").alias("pos"))
+
+
+@query("evaluation_references", with_views(TWO_RINGS, REGISTERED, _keyed_reference("refs", "rank >= 0")) + "SELECT * FROM refs")
+def evaluation_references(spark, sf):
+    moved, readable = _registered_two(spark, sf)
+    at = moved.select(*KEYED, "loop", F.col("registered").alias("pos"))
+    return ops.reference_objects(at, readable, RING, MATCH_AT, KEYED)
+
+
+@query("missing_objects", with_views(TWO_RINGS, REGISTERED, MISSING) + "SELECT * FROM lost")
 def missing_objects(spark, sf):
-    return ops.missing_objects(_wheels(spark, sf), _coverage(spark, sf), RING, MATCH_AT)
+    moved, readable = _registered_two(spark, sf)
+    at = moved.select(*KEYED, "loop", "rank", F.col("registered").alias("pos"))
+    return ops.missing_objects(at, readable, RING, MATCH_AT, KEYED)
+
+
+_ID = "CAST(floor(({0} - 3 - 1000 * floor(({0} - 3) / 1000)) / 10) AS BIGINT) % 100"
+FOUND = f"""ids AS (SELECT camera_id, evaluation, id, coalesce(objects, 0) AS objects, coalesce(covered, false) AS covered FROM (
+    SELECT DISTINCT camera_id, evaluation FROM refs) CROSS JOIN range(100) g(id)
+  LEFT JOIN (SELECT camera_id, evaluation, {_ID.format('x')} AS id, count(*) AS objects FROM refs GROUP BY ALL) USING (camera_id, evaluation, id)
+  LEFT JOIN (SELECT DISTINCT camera_id, evaluation, {_ID.format('cell * 8')} AS id, true AS covered FROM ec) USING (camera_id, evaluation, id)),
+gp AS (SELECT camera_id, evaluation, id, coalesce(lag(id) OVER w, max(id) OVER (PARTITION BY camera_id, evaluation) - 100) AS p FROM ids
+  WHERE objects > 0 OR NOT covered WINDOW w AS (PARTITION BY camera_id, evaluation ORDER BY id)),
+hot AS (SELECT a.camera_id, a.evaluation, a.id FROM ids a JOIN ids b ON b.camera_id = a.camera_id AND b.evaluation = a.evaluation AND (b.id - a.id + 100) % 100 < 3
+  GROUP BY ALL HAVING sum(b.objects) >= 2),
+hg AS (SELECT *, sum(CASE WHEN p IS NULL OR id - p > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY camera_id, evaluation ORDER BY id) AS g
+  FROM (SELECT *, lag(id) OVER (PARTITION BY camera_id, evaluation ORDER BY id) AS p FROM hot)),
+sp AS (SELECT camera_id, evaluation, g, min(id) AS a, max(id) + 2 AS b FROM hg GROUP BY ALL),
+en AS (SELECT camera_id, evaluation, max(g) AS lastg, min(a) AS mina, max(b) AS maxb FROM sp GROUP BY ALL),
+mg AS (SELECT camera_id, evaluation, CASE WHEN joins THEN 1 ELSE g END AS g, min(CASE WHEN joins THEN a - 100 ELSE a END) AS a, max(CASE WHEN joins THEN a - 100 ELSE b END) AS b
+  FROM (SELECT *, lastg > 1 AND maxb + 1 >= mina + 100 AND g = lastg AS joins FROM sp JOIN en USING (camera_id, evaluation)) GROUP BY 1, 2, 3),
+ob AS (SELECT mg.*, r.id + k * 100 AS id, r.objects FROM mg JOIN ids r USING (camera_id, evaluation), range(-1, 2) z(k) WHERE r.objects > 0 AND r.id + k * 100 BETWEEN a AND b),
+ds AS (SELECT camera_id, evaluation, a, b, sum(objects) AS objects, coalesce(min(s), 0) AS s FROM (
+    SELECT *, CASE WHEN objects > 1 THEN 0 ELSE id - lag(id) OVER (PARTITION BY camera_id, evaluation, a ORDER BY id) END AS s FROM ob) GROUP BY ALL),
+found AS (SELECT camera_id, evaluation, 'wheel_gap' AS kind, (p + 101) % 100 AS first_id, (id + 99) % 100 AS last_id, id - p - 1 AS ids, 0 AS objects, NULL::BIGINT AS min_spacing
+  FROM gp WHERE id - p - 1 >= 5
+  UNION ALL SELECT camera_id, evaluation, 'wheel_density', (a + 100) % 100, b % 100, (b - a) % 100 + 1, CAST(objects AS BIGINT), s FROM ds
+  UNION ALL SELECT camera_id, evaluation, 'wheel_missing', {_ID.format('x')}, {_ID.format('x')}, 1, 0, NULL FROM lost SEMI JOIN refs USING (camera_id, evaluation))"""
+
+
+@query("ring_evaluation", with_views(TWO_RINGS, REGISTERED, _keyed_reference("refs", "rank >= 0"), MISSING, FOUND) + "SELECT * FROM found")
+def ring_evaluation(spark, sf):
+    wheels, coverage, seen = _two_rings(spark, sf)
+    return ops.evaluated_rings(wheels, coverage, settle(seen), CAMERA, SHAPE, MATCH_AT)[0]
+
+
+@query("ring_events")
+def ring_events(spark, sf):
+    wheels, coverage, seen = _two_rings(spark, sf)
+    found, evaluations = ops.evaluated_rings(wheels, coverage, settle(seen), CAMERA, SHAPE, MATCH_AT)
+    found = settle(found)
+    changes = settle(ops.flagged(found, evaluations, CAMERA, 100, "CAM"))
+    out = ops.measured_events(changes, found, evaluations, CAMERA, 100)
+    return out.withColumn("measurements", F.to_json("measurements"))
 
 
 RINGS = """ring AS (SELECT p_partkey AS id, p_partkey % 53 <> 0 AS covered,
