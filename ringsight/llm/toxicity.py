@@ -8,7 +8,7 @@ of holding a window with these lengths, and the two most toxic windows of a text
 The fit uses a bounded sample of labelled documents (``TRAIN_DOCS`` of each label, those with the smallest hash of their id among rows outside
 the held-out quarter, any length), two thirds for the dictionaries, one for the calibration; texts that are the same count once in each.
 A word marks toxic documents if the share of them that holds it lies ``SURE`` standard errors above that of ordinary ones, and is at least
-``SHARE``; the ordinary side takes the ``ORDINARY_WORDS`` most frequent others. The driver holds these words, the dictionaries (1 kB each) and the table
+``SHARE``; the ordinary side takes the ``ORDINARY_WORDS`` most frequent others. The driver holds these words, the dictionaries (2 kB at most) and the table
 of lengths, never a text. Labels, language, source and doc_id are no input of a score.
 
 Null and empty texts have no window, so they get the score of a text without any toxic one. Rows without doc_id are not held out and never
@@ -38,11 +38,11 @@ SHARE, SUPPORT, SURE = 0.02, 3, 8
 ORDINARY_WORDS = 30_000
 ORDINARY_SAMPLES = 400_000
 #: (bytes, segment length, part length) of each pair
-DICTIONARIES = ((1024, 16, 6), (1024, 24, 6), (1024, 32, 8), (512, 20, 6))
+DICTIONARIES = ((2048, 32, 8), (2048, 24, 6), (1024, 16, 6))
 LEVEL = 19
 LEAST_ODDS = 1.5  # log odds below this are no evidence
 LONGEST = 400
-MEMORY = 400_000  # words whose lengths a worker remembers
+MEMORY = 600_000  # words whose lengths a worker remembers
 THRESHOLD = 0.3
 
 Lengths = tuple[int, int]  # with the toxic dictionaries, and how much longer with the ordinary ones
