@@ -29,6 +29,15 @@ def last_loops(df: DataFrame, size: int = HISTORY_LOOPS) -> DataFrame:
     return df.select("loop").distinct().orderBy(F.col("loop").desc()).limit(size)
 
 
+def finished_rows(df: DataFrame, completed: DataFrame) -> DataFrame:
+    """Rows up to the newest completed loop, so that a loop that still runs decides nothing.
+
+    ``completed`` comes from ``completed_loops``. Without a completed loop no row is left.
+    """
+    frontier = completed.filter("complete").agg(F.max("loop").alias("_frontier"))  # one row
+    return df.crossJoin(F.broadcast(frontier)).filter(F.col("loop") <= F.col("_frontier")).drop("_frontier")
+
+
 def persistent_list(df: DataFrame, size: int = HISTORY_LOOPS) -> DataFrame:
     """Elements seen short in at least two of the latest loops."""
     recent = df.join(F.broadcast(last_loops(df, size)), "loop", "left_semi").filter("n_views > 0")

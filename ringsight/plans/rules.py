@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ringsight.operators import rules as ops
@@ -52,6 +53,24 @@ def persistent_list(spark, sf):
     return ops.persistent_list(t.element_rows(spark, sf))
 
 
+@query(
+    "persistent_list_finished",
+    with_views(
+        t.ELEMENT_ROWS.replace("element_rows AS (", "all_rows AS (", 1),
+        """st AS (SELECT loop, n, sum(n) OVER (ORDER BY loop) - n AS start FROM (SELECT loop, count(*) AS n FROM all_rows GROUP BY loop)),
+        done AS (SELECT max(loop) AS frontier FROM (SELECT *, lead(start) OVER (ORDER BY loop) AS nx FROM st) WHERE n >= nx - start),
+        element_rows AS (SELECT * EXCLUDE (frontier) FROM all_rows, done WHERE loop <= frontier)""",
+        PERSISTENT,
+    )
+    + "SELECT * FROM persistent",
+)
+def persistent_list_finished(spark, sf):
+    rows = t.element_rows(spark, sf)
+    sizes = rows.groupBy("loop").agg(F.count("*").alias("n"))  # one row per loop
+    starts = sizes.select("loop", (F.sum("n").over(Window.orderBy("loop")) - F.col("n")).alias("start"))
+    return ops.persistent_list(ops.finished_rows(rows, ops.completed_loops(rows, starts)))
+
+
 @query("new_drop_alerts", with_views(t.ELEMENT_ROWS, PERSISTENT, LOOPS, DROPS) + "SELECT * FROM drops")
 def new_drop_alerts(spark, sf):
     return _drops(spark, sf)
