@@ -213,6 +213,24 @@ def islands(df: DataFrame, lane: Lane, starts: Column, name: str = "island") ->
     return running(df, lane, **{name: Running("sum", F.when(starts, 1).otherwise(0).cast("bigint"))})
 
 
+def dealt_ranges(df: DataFrame, low: str, high: str, name: str, span: int = 1 << 20, part: int = 1 << 10) -> DataFrame:
+    """One row for every whole number from ``low`` to ``high``, both included, in place of the two columns.
+
+    A range of any length is cut into spans, these are dealt over tasks, and only there filled in small parts: no task gets more than
+    its share of spans and no row holds more than ``part`` numbers (10^12 numbers make 10^6 spans).
+    """
+    kept = [c for c in df.columns if c not in (low, high)]
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def cut(rows: DataFrame, size: int) -> DataFrame:
+        begins = rows.select(*kept, F.explode(F.sequence(low, high, F.lit(size).cast("bigint"))).alias("_begin"), high)
+        return begins.select(*kept, F.col("_begin").alias(low), F.least(F.col("_begin") + (size - 1), F.col(high)).alias(high))
+
+    whole = df.filter(F.col(low) <= F.col(high)).select(*kept, F.col(low).cast("bigint").alias(low), F.col(high).cast("bigint").alias(high))
+    spans = cut(whole, span).repartition(tasks, *kept, low)
+    return cut(spans, part).select(*kept, F.explode(F.sequence(low, high)).alias(name))
+
+
 def lane_keys(pdf, keys: Sequence[str]) -> list[tuple]:
     """Key values of every row, also where a lane has no key."""
     return list(pdf[list(keys)].itertuples(index=False, name=None)) if keys else [()] * len(pdf)

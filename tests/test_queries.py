@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"  # the smallest table has a single pass over the ring
 SAMPLE = """gap_declaration late_drop arrival_health interval_sampler request_correlation ramp_trigger virtual_slots
 slot_status edge_marking response_validation severity_score otsu_threshold neighbour_dissimilarity template_peaks best_offset
-two_view_assembly interpolated_position pass_aggregation history_state evidence_choice hysteresis_state plate_numbers
+chain_columns chain_judged two_view_assembly interpolated_position pass_aggregation history_state evidence_choice hysteresis_state plate_numbers
 nearest_frame persistent_list persistent_list_finished new_drop_alerts hidden_runs reference_objects gap_rule density_rule event_to_alert
 keyed_upsert storage_cap_gate viewer_counts minute_rollup image_stream_split settings_scan""".split()
 ALL = list(entry.queries())
