@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringsight.functions.numeric import clamp, half_even, measured, violations
-from ringsight.operators.ordered import Lane, Running, framed, previous, running
+from ringsight.operators.ordered import Lane, Running, dealt_ranges, framed, previous, running
 from ringsight.operators.sequencing import ELEMENT_PERIOD, FRAME_RATE, GAP_SECONDS
 from ringsight.operators.windows import trailing_quantiles
 from ringsight.session import settle
@@ -60,15 +60,12 @@ def fill_virtual_slots(df: DataFrame, lane: Lane, position: str) -> DataFrame:
     gap = (F.col(position) - F.col(f"_prev.{position}")) / FRAME_RATE
     hidden = F.when(gap > GAP_SECONDS, half_even(gap / ELEMENT_PERIOD) - 1).otherwise(0).cast("bigint")
     counted = seen.withColumn("_hidden", F.greatest(F.coalesce(hidden, F.lit(0)), F.lit(0).cast("bigint"))).drop("_prev")
-    ended = running(settle(counted), lane, _end=Running("sum", F.col("_hidden") + 1))
-    rows = ended.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_hidden"))))
-    real = F.col("_k") == F.col("_hidden")
-    kept = [F.when(real, F.col(c)).alias(c) if c not in lane.keys else F.col(c) for c in df.columns]
-    return rows.select(
-        *kept,
-        (F.col("_end") - 1 - F.col("_hidden") + F.col("_k")).alias("slot"),
-        F.when(real, "real").otherwise("virtual").alias("kind"),
-    )
+    ended = settle(running(settle(counted), lane, _end=Running("sum", F.col("_hidden") + 1)))
+    last = F.col("_end") - 1
+    real = ended.select(*df.columns, last.alias("slot"), F.lit("real").alias("kind"))
+    behind = ended.filter("_hidden > 0").select(*lane.keys, (last - F.col("_hidden")).alias("_low"), (last - 1).alias("_high"))
+    virtual = dealt_ranges(behind, "_low", "_high", "slot").withColumn("kind", F.lit("virtual"))
+    return real.unionByName(virtual, allowMissingColumns=True)
 
 
 def classify(df: DataFrame, lane: Lane) -> DataFrame:

@@ -8,7 +8,9 @@ from ringsight.functions.numeric import decode_missing, encode_missing
 from ringsight.operators import alerts as ops
 from ringsight.operators import reports
 from ringsight.plans.registry import query, with_views
+from ringsight.session import checkpoint_root
 from ringsight.sources import tables as t
+from ringsight.sources.sinks import append_dated, remove_before, run_folder
 
 YEAR_1998, YEAR_1999 = 883_612_800_000_000, 915_148_800_000_000
 
@@ -263,6 +265,27 @@ def retention(spark, sf):
     return out.select("alert_id", "expired", F.when(F.col("expired"), path).alias("file"))
 
 
+@query(
+    "retained_table",
+    with_views(t.ALERTS, "n AS (SELECT max(detected_us) - 365 * 86400000000 AS cut FROM alerts)")
+    + """SELECT strftime(detected_at, '%Y-%m-%d') AS day, count(*) FILTER (detected_us >= cut) AS n_kept, count(*) FILTER (detected_us < cut) AS n_files
+    FROM alerts, n GROUP BY 1""",
+)
+def retained_table(spark, sf):
+    """Alerts written as a dated table, those of more than a year ago removed from it: rows left and evidence files to remove, for each day."""
+    file = ops.evidence_path(F.col("detected_at"), F.col("camera_id"), F.col("alert_id").cast("string"))
+    a = t.alerts(spark, sf).select("alert_id", "detected_us", file.alias("evidence_ref"))
+    cut = a.agg(F.max("detected_us")).first()[0] - 365 * 86_400_000_000
+    root = run_folder(f"{checkpoint_root(spark)}/retained")
+    append_dated(a, f"{root}/table", "detected_us", days=30)
+    files = remove_before(spark, f"{root}/table", "detected_us", cut, "evidence_ref", f"{root}/files", days=30)
+    day = F.date_from_unix_date(F.floor(F.col("detected_us") / 86_400_000_000).cast("int")).cast("string")
+    kept = spark.read.schema("detected_us bigint, day date").parquet(f"{root}/table").select(day.alias("day"), F.lit(1).alias("kept"))
+    gone = files.select(F.replace(F.substring("file", 1, 10), F.lit("/"), F.lit("-")).alias("day"), F.lit(0).alias("kept"))
+    counts = kept.unionByName(gone).groupBy("day")
+    return counts.agg(F.sum("kept").alias("n_kept"), F.sum(1 - F.col("kept")).alias("n_files"))
+
+
 @query(
     "alert_validation",
     """SELECT event_id, concat_ws(',', CASE WHEN event_id % 9 = 0 THEN 'alert_id' END, CASE WHEN user_id % 8 >= 6 THEN 'camera_id' END,

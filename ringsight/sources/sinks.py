@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringsight.operators.alerts import KEPT_ON_UPDATE, alert_violations, append_alerts, keyed_upsert
+from ringsight.operators.alerts import KEPT_ON_UPDATE, alert_violations, append_alerts, keyed_upsert, safe_path
+from ringsight.session import settle
 
+DAY_US = 86_400_000_000
 
 
 def append_valid_alerts(df: DataFrame, path: str) -> DataFrame:
@@ -59,6 +62,45 @@ def upsert_parquet(
     return target
 
 
+def append_dated(df: DataFrame, path: str, at: str, days: int = 1) -> None:
+    """Append rows to a table with a partition for every ``days`` days of ``at`` (microseconds), named by the first of them in ``day``; rows
+    without a time go to the null day. A hot day is written by several tasks, small ones share a task."""
+    day = F.date_from_unix_date((F.floor(F.col(at) / (days * DAY_US)) * days).cast("int"))
+    df.withColumn("day", day).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+
+
+def remove_before(spark: SparkSession, path: str, at: str, cutoff_us: int, evidence: str, listing: str, days: int = 1) -> DataFrame:
+    """Remove rows older than the cutoff from a dated table and return the evidence files that belonged to them (column ``file``).
+
+    Days before that of the cutoff are dropped whole, the day of the cutoff is overwritten with its rest if anything of it expires, and no
+    other partition is read or written. Rows without a time stay. The files are written to a folder of their own under ``listing`` before
+    anything is removed, so a run that dies may simply be started again: what it had removed is listed already. If a file's path would leave the
+    evidence folder, ValueError is raised and nothing is removed. One writer at a time.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = folder(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    border = (datetime.date(1970, 1, 1) + datetime.timedelta(days=cutoff_us // (days * DAY_US) * days)).isoformat()
+    table = spark.read.parquet(path)
+    old = table.filter((F.col("day") <= F.lit(border).cast("date")) & (F.col(at) < cutoff_us))
+    files = settle(old.filter(F.col(evidence).isNotNull()).select(F.col(evidence).alias("file")).distinct())
+    if not files.filter(~safe_path(F.col("file"))).isEmpty():
+        raise ValueError("an expired row names a file outside the evidence folder")
+    target = run_folder(listing)
+    files.write.parquet(target)
+    split = table.filter(F.col("day") == F.lit(border).cast("date"))
+    goes, stays = (not split.filter(c).isEmpty() for c in (F.col(at) < cutoff_us, F.col(at) >= cutoff_us))
+    if goes and stays:
+        rest = settle(split.filter(F.col(at) >= cutoff_us))
+        rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    names = [s.getPath().getName() for s in fs.listStatus(folder(path))]  # a name per day
+    for name in names:
+        if not (name.startswith("day=") and name[4:5].isdigit()):
+            continue
+        if name[4:] < border or (name[4:] == border and goes and not stays):
+            fs.delete(folder(f"{path}/{name}"), True)
+    return spark.read.schema(files.schema).parquet(target)
+
+
 def write_window_stats(stats: DataFrame, path: str) -> None:
     """One small JSON document per window."""
     stats.coalesce(1).write.mode("overwrite").json(path)
