@@ -14,7 +14,33 @@ COLUMNS = Lane((), "col")
 BY_EVENT = Lane((), "event_id")
 
 
-@query("odometer_fusion")
+def _back(expr):
+    return "[" + ", ".join(expr.format(k=k, m=k + 3) for k in range(1, 5)) + "]"
+
+
+ODOMETER = f"""src AS MATERIALIZED (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n,
+  {_back("(5.0::DOUBLE + user_id % 4) * {k} + ((event_id * {m}) % 11 - 5) / 20.0::DOUBLE + CASE WHEN event_id % 37 = {k} THEN 40 ELSE 0 END")} AS shift,
+  {_back("CASE WHEN ((event_id * {k}) % 29) / 29.0::DOUBLE > 0.2 AND event_id % 53 <> {k} THEN ((event_id * {k}) % 29) / 29.0::DOUBLE * {k} ELSE 0 END")} AS weight
+  FROM events),
+way AS (SELECT event_id, n, 0.0::DOUBLE AS step, [0.0::DOUBLE] AS steps, [1] AS got, []::DOUBLE[] AS recent FROM src WHERE n = 1
+  UNION ALL
+  SELECT event_id, n, own + lost * usual, list_concat([own], trail)[1:4], list_concat([1], there)[1:4], list_concat([own], recent)[1:25]
+  FROM (SELECT *, coalesce(list_sum(list_transform(near, lambda c: c.o * c.w)) / list_sum(list_transform(near, lambda c: c.w)), usual) AS own
+  FROM (SELECT *, list_filter(usable, lambda c: abs(c.o - CASE WHEN weight[1] * there[1] > 0 AND shift[1] > -3 AND shift[1] < 80 THEN shift[1]
+      ELSE list_median(list_transform(usable, lambda d: d.o)) END) <= 2) AS near
+  FROM (SELECT *, list_filter(list_transform(range(1, len(trail) + 1), lambda j: {{'o': shift[j] - coalesce(list_sum(trail[1:j - 1]), 0), 'w': weight[j] * there[j]}}),
+      lambda c: c.w > 0) AS usable
+  FROM (SELECT *, list_concat(list_transform(range(least(lost, 4)), lambda j: usual), steps)[1:4] AS trail,
+      list_concat(list_transform(range(least(lost, 4)), lambda j: 0), got)[1:4] AS there
+  FROM (SELECT s.event_id, s.n, s.shift, s.weight, w.steps, w.got, w.recent, coalesce(list_median(w.recent), 0) AS usual, s.event_id - w.event_id - 1 AS lost
+    FROM way w JOIN src s ON s.n = w.n + 1))))))"""
+
+
+@query(
+    "odometer_fusion",
+    with_views(ODOMETER).replace("WITH", "WITH RECURSIVE", 1)
+    + "SELECT event_id, round(step, 6) AS step, round(sum(step) OVER (ORDER BY event_id), 4) AS position FROM way",
+)
 def odometer_fusion(spark, sf):
     """Shifts over 1..4 frames around the true step, with gross errors and weak matches mixed in."""
     e = t.table(spark, sf, "events")
