@@ -12,6 +12,10 @@ Anchors of a group arrive by ascending doc_id and pass through in a stream: what
 windows of the current anchor, not its occurrences, and no pairs are built. Copies of a passage inside one Arrow
 chunk are settled before the shuffle. Window digests have 48 bits beside the 64 of their anchor, both must agree.
 
+An anchor that is frequent in the whole table (``hot_anchors``, mergeable counters over all documents) is no place to
+meet: each of its windows travels alone, under a key made of anchor and window, so that its different windows are
+dealt over all tasks. Which anchors are taken for hot changes where windows meet, never what is found.
+
 Null texts and texts of fewer than WINDOW words lose nothing. Rows without doc_id neither lose words nor make
 others lose any. Rows that share a doc_id never count as smaller than each other; each loses what smaller ids
 repeat. Equal windows inside one document stay. ``remove_repeats`` adds columns and replaces those of their names; ``without_repeats`` changes
@@ -28,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringsight.llm.columns import free_name
+from ringsight.llm.stages import settle
 from ringsight.llm.words import U64, chunks, hashes, mix, raw, rolled, spans
 
 WINDOW = 13
@@ -36,6 +41,9 @@ DIGEST = 6
 
 _SEEDS = "anchor long, doc long, at long, n int, digests binary"
 _MARKS = "doc long, at long, mask int"
+_COUNTS = "anchor long, n long"
+HOT_SEEDS = 32_768  # an anchor may have so many places anyway
+COUNTERS = 65_536  # of one task; an anchor with over four in COUNTERS of all places is always found, and at most half as many are
 _VERSION = 40  # bits of a place below the version of the text
 
 
@@ -63,25 +71,37 @@ def _minimum_places(g: np.ndarray, width: int) -> np.ndarray:
     return at + np.arange(n)
 
 
-def _seeds(ids: np.ndarray, known: np.ndarray, buf: np.ndarray, off: np.ndarray, window: int, anchor: int) -> pa.RecordBatch | None:
-    start, end, count = spans(buf, off)
-    h = hashes(buf, start, end)
+def _anchored(h: np.ndarray, count: np.ndarray, known: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...] | None:
+    """Starts of all windows, their texts, the key of each window's anchor, and where in this list an anchor begins."""
     if len(h) < window:
         return None
     text = np.repeat(np.arange(len(count)), count)
-    first_word = np.cumsum(count) - count
     whole = np.flatnonzero((text[: len(h) - window + 1] == text[window - 1 :]) & known[text[: len(h) - window + 1]])
     if not len(whole):
         return None
-    g, w = rolled(h, anchor), rolled(h, window)
+    g = rolled(h, anchor)
     place = _minimum_places(g, window - anchor + 1)[whole]
-    head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    return whole, text[whole], g[place], np.concatenate([[True], place[1:] != place[:-1]])
+
+
+def _seeds(
+    ids: np.ndarray, known: np.ndarray, buf: np.ndarray, off: np.ndarray, window: int, anchor: int, hot: np.ndarray
+) -> pa.RecordBatch | None:
+    start, end, count = spans(buf, off)
+    h = hashes(buf, start, end)
+    found = _anchored(h, count, known, window, anchor)
+    if found is None:
+        return None
+    whole, text, run, begins = found
+    alone = np.isin(run, hot)
+    head = np.flatnonzero(begins | alone)
     n = np.diff(np.append(head, len(whole)))
-    first = whole[head]
-    owner = text[first]
+    first, owner = whole[head], text[head]
+    first_word = np.cumsum(count) - count
     doc = ids[owner]
     at = (_version(buf, start, end, count, h)[owner] << _VERSION) | (first - first_word[owner])
-    key = g[place[head]]
+    w = rolled(h, window)
+    key = np.where(alone[head], mix(run[head] ^ mix(w[first])), run[head])
     # the first and the last window hold all words that the windows of an anchor touch
     content = mix(mix(w[first] ^ key) + w[first + n - 1] * U64(3) + n.astype(U64))
     order = np.lexsort((doc, content))
@@ -108,8 +128,53 @@ def _seeds(ids: np.ndarray, known: np.ndarray, buf: np.ndarray, off: np.ndarray,
     )
 
 
-def seeds(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def _summed(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` counters; what the largest one left out counts is taken from all of them."""
+    keys, back = np.unique(keys, return_inverse=True)
+    counts = np.bincount(back, counts).astype(np.int64)
+    if len(keys) > most:
+        counts = counts - np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]
+        keys, counts = keys[counts > 0], counts[counts > 0]
+    return keys, counts
+
+
+def hot_anchors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, least: int = HOT_SEEDS, counters: int = COUNTERS) -> np.ndarray:
+    """Keys of the anchors that have more than ``least`` places and a large share of all of them, at most half as many as ``counters``.
+
+    Each task counts all its anchors in bounded memory. Its counters are too low by one in ``counters`` of its places at most, and those
+    below that share stay with it, so sums are too low by two in ``counters`` at most.
+    """
+
+    def count_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, total = np.zeros(0, U64), np.zeros(0, np.int64), 0
+        for batch in batches:
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            buf, off = raw(batch.column(1))
+            for a, b in chunks(off):
+                part = buf[off[a] : off[b]]
+                start, end, count = spans(part, off[a : b + 1] - off[a])
+                found = _anchored(hashes(part, start, end), count, known[a:b], window, anchor)
+                if found is not None:
+                    new = found[2][found[3]]
+                    total += len(new)
+                    keys, counts = _summed(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)]), counters)
+        sent = counts * counters > total
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None, *keys[sent].view(np.int64).tolist()], pa.int64()), pa.array([total, *counts[sent].tolist()], pa.int64())],
+            names=["anchor", "n"],
+        )
+
+    counted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count_up, _COUNTS)
+    counted = settle(counted.groupBy("anchor").agg(F.sum("n").alias("n")))
+    places = counted.filter("anchor is null").first()
+    limit = max(least, 2 * (places["n"] if places else 0) // counters)
+    hot = counted.filter(F.col("anchor").isNotNull() & (F.col("n") > limit)).select("anchor").toArrow().column(0)
+    return np.sort(hot.to_numpy().astype(np.int64)).view(U64)
+
+
+def seeds(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: np.ndarray | None = None) -> DataFrame:
     """Anchors of all documents with the digests of their windows. Without digests: all its windows are repeats already."""
+    hot = np.zeros(0, U64) if hot is None else hot
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,19 +182,31 @@ def seeds(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             buf, off = raw(batch.column(1))
             for a, b in chunks(off):
-                made = _seeds(ids[a:b], known[a:b], buf[off[a] : off[b]], off[a : b + 1] - off[a], window, anchor)
+                made = _seeds(ids[a:b], known[a:b], buf[off[a] : off[b]], off[a : b + 1] - off[a], window, anchor, hot)
                 if made is not None:
                     yield made
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(find, _SEEDS)
 
 
+def _pushed(runs: list[tuple[np.ndarray, np.ndarray]], windows: np.ndarray, docs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted runs with one more; runs that are not longer than it are merged, so each window is merged a logarithmic number of times."""
+    runs = list(runs)
+    while runs and len(runs[-1][0]) <= 2 * len(windows):
+        more, theirs = runs.pop()
+        windows, docs = np.concatenate([windows, more]), np.concatenate([docs, theirs])
+        order = np.lexsort((docs, windows))
+        first = np.concatenate([[True], windows[order][1:] != windows[order][:-1]])
+        windows, docs = windows[order][first], docs[order][first]
+    return [*runs, (windows, docs)]
+
+
 def repeats(found: DataFrame) -> DataFrame:
     """Places whose windows occur in a smaller doc_id: (doc, at, mask), bit i of mask for the window at ``at + i``."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key: int | None = None
-        held = (np.zeros(0, U64), np.zeros(0, np.int64))  # windows of the current anchor, and the smallest doc of each
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # sorted windows of the current anchor and the smallest doc of each, in runs of falling size
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -160,21 +237,23 @@ def repeats(found: DataFrame) -> DataFrame:
                     wide[:, i] = data[pos + i]
                 digest = wide.view(U64).reshape(-1)
                 g, d = group[rows][row_of], doc[take][row_of]
-                if carried.any():
-                    digest = np.concatenate([held[0], digest])
-                    g = np.concatenate([np.zeros(len(held[0]), g.dtype), g])
-                    d = np.concatenate([held[1], d])
-                extra = len(digest) - total
                 order = np.lexsort((d, digest, g))
                 head = np.concatenate([[True], (digest[order][1:] != digest[order][:-1]) | (g[order][1:] != g[order][:-1])])
-                least = np.empty(len(digest), np.int64)
+                least = np.empty(total, np.int64)
                 least[order] = d[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-                again = (d > least)[extra:]
+                if carried.any():
+                    mine = np.flatnonzero(g == 0)
+                    for windows, docs in held:
+                        where = np.minimum(np.searchsorted(windows, digest[mine]), len(windows) - 1)
+                        same = windows[where] == digest[mine]
+                        least[mine[same]] = np.minimum(least[mine[same]], docs[where[same]])
+                again = d > least
                 mask = np.add.reduceat(again.astype(np.int64) << (np.arange(total) - np.repeat(before, count)), before)
                 hit = mask > 0
                 outs.append((doc[take][hit], at[take][hit], mask[hit]))
                 end = order[head & (g[order] == group[-1])]
-                held_key, held = int(k[-1]), (digest[end], d[end])
+                held = _pushed(held if held_key == int(k[-1]) else [], digest[end], least[end])
+                held_key = int(k[-1])
             cols = [np.concatenate(c) for c in zip(*outs, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32))], names=["doc", "at", "mask"]
@@ -208,7 +287,7 @@ def _cut_out(docs: DataFrame, window: int, anchor: int, added: Sequence[str], wh
         raise ValueError("an anchor is shorter than the window, by 30 words at most")
     packed_as, marked_as, named_as = (free_name(docs, n) for n in ("_packed", "_marks", "_doc"))
     marks = (
-        repeats(seeds(docs, window, anchor))
+        repeats(seeds(docs, window, anchor, hot_anchors(docs, window, anchor)))
         .groupBy("doc")
         .agg(F.collect_list(F.struct("at", "mask")).alias(marked_as))
         .withColumnRenamed("doc", named_as)

@@ -53,6 +53,62 @@ def test_repeats_with_few_words_in_common_anchors(spark):
     assert sorted(got, key=key) == sorted(brute_repeats(rows, 8), key=key)
 
 
+def marked(df):
+    """Every marked window by itself: (doc, version and place)."""
+    return {(r["doc"], r["at"] + i) for r in df.collect() for i in range(31) if r["mask"] >> i & 1}
+
+
+def test_hot_anchors_meet_window_by_window(spark):
+    """A run of words in many different contexts, with repeats among them: the same places, however many anchors count as hot."""
+    rng = random.Random(11)
+    run = "of the and a".split()
+    texts = [words(rng, 9, 40) + run + words(rng, 9, 40) for _ in range(400)]
+    texts += [words(rng, 3) + t + words(rng, 3) for t in texts[:60]]
+    table = docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, " ".join(run * 9)), (7, None)])
+    plain = marked(substring_dedup.repeats(substring_dedup.seeds(table)))
+    some = substring_dedup.hot_anchors(table, least=20, counters=4096)
+    every = substring_dedup.hot_anchors(table, least=0, counters=10**6)
+    assert 0 < len(some) < len(every)
+    assert len(plain) >= 60 * 10
+    for hot in (some, every):
+        found = substring_dedup.seeds(table, hot=hot)
+        assert marked(substring_dedup.repeats(found)) == plain
+    most = substring_dedup.seeds(table, hot=some).groupBy("anchor").count().agg({"count": "max"}).first()[0]
+    assert most < 60  # 460 places of the run's anchor before
+    assert len(substring_dedup.hot_anchors(table.limit(0), least=0)) == 0
+
+
+def test_windows_of_one_anchor_over_many_batches(spark):
+    """What a task remembers of an anchor comes from batches of one to a hundred rows alike."""
+    rng = random.Random(12)
+    table = docs(spark, [(i, " ".join(words(rng, 30, 2))) for i in range(500)])
+    found = substring_dedup.seeds(table, 8, 3)
+    whole = marked(substring_dedup.repeats(found))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for rows in (1, 7, 100):
+            spark.conf.set(size, rows)
+            assert marked(substring_dedup.repeats(found)) == whole
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_counters_miss_no_frequent_key():
+    rng = np.random.default_rng(5)
+    keys, counts, all_keys = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    for _ in range(50):
+        new = np.concatenate([rng.integers(100, 10**6, 900), np.full(100, 7), rng.integers(0, 5, 60)]).astype(np.uint64)
+        all_keys.append(new)
+        keys, counts = substring_dedup._summed(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)]), 200)
+        assert len(keys) <= 200
+    total = np.concatenate(all_keys)
+    for k in (7, 0, 1, 2, 3, 4):
+        true = int((total == k).sum())
+        kept = int(counts[keys == k].sum())
+        assert true - len(total) // 200 <= kept <= true
+
+
 def test_texts_that_share_a_doc_id(spark):
     rng = random.Random(4)
     a, b = words(rng, 40), words(rng, 40)
