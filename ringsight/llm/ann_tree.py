@@ -251,6 +251,7 @@ def search(df: DataFrame, is_query: Column, k: int = K, target: float = TARGET,
     )
     some = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = F.broadcast(cells)  # at most MAX_LEAVES rows
     left = indexed.join(cells, "leaf").select("leaf", some("vec_id", "rows_in").alias("a"), every("queries_in").alias("b"), "vec_id", "v")
     right = visited.join(cells, "leaf").select("leaf", every("rows_in").alias("a"), some("query_id", "queries_in").alias("b"), "query_id", "q")
 
