@@ -44,6 +44,7 @@ _MARKS = "doc long, at long, mask int"
 _COUNTS = "anchor long, n long"
 HOT_SEEDS = 32_768  # an anchor may have so many places anyway
 COUNTERS = 65_536  # of one task; an anchor with over four in COUNTERS of all places is always found, and at most half as many are
+TASKS = 2_048  # so many tasks together may keep to themselves as many places as an anchor may have anyway
 _VERSION = 40  # bits of a place below the version of the text
 
 
@@ -142,8 +143,18 @@ def hot_anchors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, lea
     """Keys of the anchors that have more than ``least`` places and a large share of all of them, at most half as many as ``counters``.
 
     Each task counts all its anchors in bounded memory. Its counters are too low by one in ``counters`` of its places at most, and those
-    below that share stay with it, so sums are too low by two in ``counters`` at most.
+    below that share stay with it, so sums are too low by two in ``counters`` at most. In small partitions that share is less than one
+    place; there counters of up to one in ``TASKS`` of ``least`` stay too, so that tasks send their frequent anchors, not all of them.
     """
+    counted = settle(anchor_counts(docs, window, anchor, least, counters).groupBy("anchor").agg(F.sum("n").alias("n")))
+    places = counted.filter("anchor is null").first()
+    limit = max(least, 2 * (places["n"] if places else 0) // counters)
+    hot = counted.filter(F.col("anchor").isNotNull() & (F.col("n") > limit)).select("anchor").toArrow().column(0)
+    return np.sort(hot.to_numpy().astype(np.int64)).view(U64)
+
+
+def anchor_counts(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, least: int = HOT_SEEDS, counters: int = COUNTERS) -> DataFrame:
+    """Places of the frequent anchors of each task, and of all its anchors (null)."""
 
     def count_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, total = np.zeros(0, U64), np.zeros(0, np.int64), 0
@@ -158,18 +169,13 @@ def hot_anchors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, lea
                     new = found[2][found[3]]
                     total += len(new)
                     keys, counts = _summed(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)]), counters)
-        sent = counts * counters > total
+        sent = (counts * counters > total) & (counts > least // TASKS)
         yield pa.RecordBatch.from_arrays(
             [pa.array([None, *keys[sent].view(np.int64).tolist()], pa.int64()), pa.array([total, *counts[sent].tolist()], pa.int64())],
             names=["anchor", "n"],
         )
 
-    counted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count_up, _COUNTS)
-    counted = settle(counted.groupBy("anchor").agg(F.sum("n").alias("n")))
-    places = counted.filter("anchor is null").first()
-    limit = max(least, 2 * (places["n"] if places else 0) // counters)
-    hot = counted.filter(F.col("anchor").isNotNull() & (F.col("n") > limit)).select("anchor").toArrow().column(0)
-    return np.sort(hot.to_numpy().astype(np.int64)).view(U64)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count_up, _COUNTS)
 
 
 def seeds(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: np.ndarray | None = None) -> DataFrame:

@@ -78,6 +78,18 @@ def test_hot_anchors_meet_window_by_window(spark):
     assert len(substring_dedup.hot_anchors(table.limit(0), least=0)) == 0
 
 
+def test_small_partitions_send_their_frequent_anchors_alone(spark):
+    """Counters that leave a task are few, however small its share of the table is; the common run is still hot."""
+    rng = random.Random(12)
+    run = "of the and a".split()
+    rows = [(i, " ".join(words(rng, 9, 4000) + run + words(rng, 9, 4000))) for i in range(4000)]
+    table = docs(spark, rows).repartition(40)
+    counts = substring_dedup.anchor_counts(table, least=8 * substring_dedup.TASKS).filter("anchor is not null")
+    assert 0 < counts.count() <= 5 * 40  # about 100 different anchors of 100 texts in each task before
+    assert [r["anchor"] % 2**64 for r in counts.groupBy("anchor").sum("n").filter("`sum(n)` > 2000").collect()] != []
+    assert len(substring_dedup.hot_anchors(table, least=2000)) >= 1
+
+
 def test_windows_of_one_anchor_over_many_batches(spark):
     """What a task remembers of an anchor comes from batches of one to a hundred rows alike."""
     rng = random.Random(12)
