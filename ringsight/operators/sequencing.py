@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ringsight.functions.numeric import half_even, median_of
 from ringsight.operators.fold import lane_fold
-from ringsight.operators.ordered import Lane, Running, framed, lane_keys, numbered, previous, running, with_ordinal
-from ringsight.session import settle
+from ringsight.operators.ordered import BLOCK, Lane, Running, framed, lane_keys, numbered, previous, running, with_ordinal
+from ringsight.session import block_rows, settle
 
 FRAME_RATE = 25.0  # fixed value: nominal frames per second
 ELEMENT_PERIOD = 0.8  # fixed value: seconds per element
@@ -233,18 +236,81 @@ def spaced_step(state: dict, at: np.ndarray, gap: float, strict: bool) -> np.nda
     return np.array(picks, dtype=int)
 
 
+def spaced_exits(at: np.ndarray, gap: float, side: str) -> tuple[np.ndarray, np.ndarray]:
+    """What a block makes of the acceptance before it: the last acceptance in the block (second array) for every first one up to
+    the value in the first array. Firsts are in the block's first ``gap``; equal neighbours share an entry."""
+    at = np.unique(at)
+    after = np.searchsorted(at, at + gap, side=side)
+    after = np.where(after > np.arange(len(at)), after, np.arange(len(at)) + 1)  # a gap of zero takes the next value
+    firsts = min(int(after[0]) + 1, len(at))
+    last = np.where(after < len(at), after, np.arange(len(at)))
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            break
+        last = further
+    ends = np.flatnonzero(np.append(last[1:firsts] != last[: firsts - 1], True))
+    return at[ends], at[last[ends]]
+
+
 def spaced_rows(df: DataFrame, lane: Lane, at: str, gap: float, strict: bool = False) -> DataFrame:
     """Accept the first row, then the next at least (or more than) ``gap`` after the last accepted one.
 
-    The lane order must sort rows by ``at``; each acceptance depends on the one before it.
+    The lane order must sort rows by ``at``; each acceptance depends on the one before it. Rows without ``at`` are left out.
+
+    A chain of acceptances forgets its start slowly, so blocks do not guess their entry: each block tells what it makes of every
+    acceptance that may come before it. These are at most the rows of its first ``gap``, and less where chains have met inside the
+    block. They are followed block by block, a lane in one stream; each row is shuffled twice, however many blocks there are.
+    Where ``at`` is the order, blocks without a given width span sixteen gaps or more.
     """
-    names = df.columns
+    names, side = df.columns, "right" if strict else "left"
+    df = df.filter(F.col(at).isNotNull() & ~F.isnan(F.col(at).cast("double")))
 
     def fold(state, pdf):
         picks = spaced_step(state, pdf[at].to_numpy(dtype="float64"), gap, strict)
         return state, pdf.loc[picks, names]
 
-    return lane_fold(df, lane, fold, lambda: {"last": None}, df.schema.simpleString()[7:-1], warm=lane.width or 4096)
+    schema = df.schema.simpleString()[7:-1]
+    if df.isStreaming:
+        return lane_fold(df, lane, fold, lambda: {"last": None}, schema, warm=0)
+    if lane.width is None and lane.order == at:
+        lane = replace(lane, width=max(block_rows(df.sparkSession), int(np.ceil(16 * gap))))
+    lane = lane.resolve(df)
+    order, group = [lane.order, *lane.ties], lane.block_keys
+    rows = df.withColumn(BLOCK, lane.block())
+    key_fields = [rows.schema[k] for k in group]
+
+    def through(key, pdf):
+        return pd.DataFrame([[*key, *spaced_exits(pdf["_at"].to_numpy(dtype="float64"), gap, side)]], columns=[*group, "_upto", "_exit"])
+
+    lists = [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("_upto", "_exit")]
+    blocks = rows.select(*group, F.col(at).cast("double").alias("_at")).groupBy(*group).applyInPandas(through, T.StructType([*key_fields, *lists]))
+
+    def follow(batches):
+        here, last = None, None
+        for batch in batches:
+            entries, n = [], len(group)
+            upto, leave = (batch.column(n + i).values.to_numpy() for i in range(2))
+            edge = batch.column(n).offsets.to_numpy()
+            keys = zip(*(batch.column(i).to_pylist() for i in range(n)))
+            for (*key, _), a, b in zip(keys, edge[:-1], edge[1:]):
+                if key != here:
+                    here, last = key, None
+                entries.append(last)
+                i = a if last is None else a + np.searchsorted(upto[a:b], last + gap, side=side)
+                last = float(leave[i]) if i < b else last
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(group)], pa.array(entries, pa.float64())], names=[*group, "_entry"])
+
+    placed = blocks.repartition(*lane.keys) if lane.keys else blocks.repartition(1)  # one row per block
+    known = T.StructType([*key_fields, T.StructField("_entry", T.DoubleType())])
+    entries = placed.sortWithinPartitions(*group).mapInArrow(follow, known)
+
+    def emit(key, pdf, entry):
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        last = entry["_entry"].iloc[0]
+        return fold({"last": None if pd.isna(last) else float(last)}, pdf)[1]
+
+    return rows.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(emit, schema)
 
 
 def newest_ring(df: DataFrame, keys: list[str], item: str, order: str, size: int) -> DataFrame:

@@ -238,7 +238,8 @@ def arrival_health(spark, sf):
 )
 def interval_sampler(spark, sf):
     f = t.frames(spark, sf).select("camera_id", "event_id", "captured_us")
-    return ops.spaced_rows(f, BY_FRAME, "captured_us", 7_200_000_000).select("camera_id", "captured_us")
+    by_time = Lane(("camera_id",), "captured_us", ("event_id",))
+    return ops.spaced_rows(f, by_time, "captured_us", 7_200_000_000).select("camera_id", "captured_us")
 
 
 @query(
