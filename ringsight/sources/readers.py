@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +21,7 @@ IMAGE_SCHEMA = "path string, offset bigint, image binary, truncated boolean, ran
 RANGE_BYTES = 64 << 20  # one range of a stream file
 READ_BYTES = 1 << 20  # read at once
 BATCH_BYTES = 16 << 20  # images that leave a task together
+ROW_BYTES = 200  # of a row beside its image, while it is held
 SLOT_TEXT = ["kind", "status"]
 SLOT_NUMBERS = [
     "dx", "dy", "peak", "lit_L", "lit_R", "top_L", "bot_L", "bright_L", "straight_L", "slope_L", "top_R", "bot_R",
@@ -54,19 +54,33 @@ def _split(content: bytes):
 
 
 def split_images(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Images of concatenated streams: bytes between images are skipped, an open tail is marked truncated."""
-
-    def run(parts):
-        for pdf in parts:
-            rows = []
-            for name, data in zip(pdf[path], pdf[content]):
-                rows += [(name, i, at, image, cut) for i, (at, image, cut) in enumerate(_split(bytes(data)))]
-            yield pd.DataFrame(rows, columns=["path", "image_no", "offset", "image", "truncated"])
+    """Images of concatenated streams: bytes between images are skipped, an open tail is marked truncated.
 
+    A task holds one batch of streams as Arrow gives it, one stream of it as bytes, and ``BATCH_BYTES`` of images.
+    """
     kind = df.schema[path].dataType.simpleString()
-    return df.select(path, content).mapInPandas(
-        run, f"path {kind}, image_no bigint, offset bigint, image binary, truncated boolean"
-    )
+    return df.select(path, content).mapInArrow(_split_batches, f"path {kind}, image_no bigint, offset bigint, image binary, truncated boolean")
+
+
+def _split_batches(batches):
+    """Images of batches of (path, content), in batches of ``BATCH_BYTES`` or one image more."""
+    names = ["path", "image_no", "offset", "image", "truncated"]
+
+    def made(held, kind):
+        types = [kind, pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+
+    for batch in batches:
+        kind, held, weight = batch.column(0).type, [], 0
+        for name, data in zip(batch.column(0), batch.column(1)):
+            for i, (at, image, cut) in enumerate(_split(data.as_py())):
+                held.append((name.as_py(), i, at, image, cut))
+                weight += len(image) + ROW_BYTES
+                if weight > BATCH_BYTES:
+                    yield made(held, kind)
+                    held, weight = [], 0
+        if held:
+            yield made(held, kind)
 
 
 def read_image_streams(spark: SparkSession, path: str, stream: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
